@@ -56,7 +56,8 @@ def remainder(key: Column, n: int) -> Column:
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str) -> DataFrame:
-    """Map slices of rows in Python workers: ``make()`` runs once a task and returns ``f(columns) -> columns``.
+    """Map slices of rows in Python workers: ``make()`` runs once a task and returns ``f(columns) -> columns``,
+    or that and ``rest() -> columns``, which is called after the last row.
 
     Slices of ``SLICE_ROWS`` rows bound what a worker holds, whatever the size of Spark's batches.
     """
@@ -65,12 +66,17 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema:
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in names])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
+        made = make()
+        f, rest = made if isinstance(made, tuple) else (made, list)
+
+        def batch_of(columns: list) -> Iterator[pa.RecordBatch]:
+            if columns and len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
+
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE_ROWS):
-                columns = f([c.to_pylist() for c in batch.slice(i, SLICE_ROWS).columns])
-                if columns and len(columns[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
+                yield from batch_of(f([c.to_pylist() for c in batch.slice(i, SLICE_ROWS).columns]))
+        yield from batch_of(rest())
 
     return df.mapInArrow(run, schema)
 

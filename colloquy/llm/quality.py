@@ -33,7 +33,7 @@ class _Ids(dict):
     """Token to hashed id; forgets all once it is large, so a worker's memory is bounded."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[token] = value = zlib.crc32(token.encode("utf-8", "surrogatepass"))
         return value

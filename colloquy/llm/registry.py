@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from colloquy.llm import langid, quality
+from colloquy.llm import langid, packing, pii, quality, tokencount
 
 
 def queries() -> dict:
-    return {"op1_quality": quality.op1_quality, "op5_langid": langid.op5_langid}
+    return {
+        "op1_quality": quality.op1_quality,
+        "op2_packing": packing.op2_packing,
+        "op5_langid": langid.op5_langid,
+        "op7_token_counts": tokencount.op7_token_counts,
+        "op8_pii": pii.op8_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
