@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import langid, packing, pii, quality, tokencount
+from colloquy.llm import decontam, langid, packing, pii, quality, simhash, tokencount
 
 
 def queries() -> dict:
@@ -12,8 +12,10 @@ def queries() -> dict:
         "op5_langid": langid.op5_langid,
         "op7_token_counts": tokencount.op7_token_counts,
         "op8_pii": pii.op8_pii,
+        "op9_decontamination": decontam.op9_decontamination,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": decontam.SQL}
