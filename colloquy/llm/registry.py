@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import decontam, langid, packing, pii, quality, simhash, tokencount
+from colloquy.llm import decontam, langid, packing, pii, quality, rules, simhash, tokencount
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality": quality.op1_quality,
         "op2_packing": packing.op2_packing,
         "op5_langid": langid.op5_langid,
+        "op6_rules": rules.op6_rules,
         "op7_token_counts": tokencount.op7_token_counts,
         "op8_pii": pii.op8_pii,
         "op9_decontamination": decontam.op9_decontamination,
