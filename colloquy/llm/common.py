@@ -55,11 +55,11 @@ def remainder(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string")) % F.lit(n)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable, schema: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Map slices of rows in Python workers: ``make()`` runs once a task and returns ``f(columns) -> columns``,
     or that and ``rest() -> columns``, which is called after the last row.
 
-    Slices of ``SLICE_ROWS`` rows bound what a worker holds, whatever the size of Spark's batches.
+    Slices of a few rows bound what a worker holds, whatever the size of Spark's batches.
     """
     spark = ship(df.sparkSession)
     names = spark.createDataFrame([], schema).schema
@@ -74,8 +74,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE_ROWS):
-                yield from batch_of(f([c.to_pylist() for c in batch.slice(i, SLICE_ROWS).columns]))
+            for i in range(0, batch.num_rows, slice_rows):
+                yield from batch_of(f([c.to_pylist() for c in batch.slice(i, slice_rows).columns]))
         yield from batch_of(rest())
 
     return df.mapInArrow(run, schema)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from colloquy.llm import decontam, langid, packing, pii, quality, rules, simhash, tokencount
+from colloquy.llm import decontam, langid, packing, pii, quality, rules, simhash, tokencount, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
         "op2_packing": packing.op2_packing,
+        "op3_warc": warc.op3_warc,
         "op5_langid": langid.op5_langid,
         "op6_rules": rules.op6_rules,
         "op7_token_counts": tokencount.op7_token_counts,
