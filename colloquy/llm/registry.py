@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.llm import decontam, langid, packing, pii, quality, rules, simhash, tokencount, warc
+from colloquy.llm import decontam, extraction, langid, packing, pii, quality, rules, simhash, tokencount, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality": quality.op1_quality,
         "op2_packing": packing.op2_packing,
         "op3_warc": warc.op3_warc,
+        "op4_main_text": extraction.op4_main_text,
         "op5_langid": langid.op5_langid,
         "op6_rules": rules.op6_rules,
         "op7_token_counts": tokencount.op7_token_counts,
