@@ -81,6 +81,27 @@ def map_rows(df: DataFrame, make: Callable, schema: str, slice_rows: int = SLICE
     return df.mapInArrow(run, schema)
 
 
+def map_text(df: DataFrame, make: Callable) -> DataFrame:
+    """Change or drop rows by their text: ``make()`` gives ``f(texts) -> (new texts or None, rows to keep or None)``.
+
+    The other columns pass as they are, whatever their types and names.
+    """
+    ship(df.sparkSession)
+    place = df.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(i, SLICE_ROWS)
+                new, keep = f(part.column(place).to_pylist())
+                if new is not None:
+                    part = part.set_column(place, part.schema.field(place), pa.array(new, part.schema.field(place).type))
+                yield part if keep is None else part.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow(kind) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -207,20 +207,17 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WI
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``documents`` without those that hold a window of any item; all columns stay, no shuffle."""
-    place = documents.columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     for block in blocks(benchmark, window, block_words):
         shared = documents.sparkSession.sparkContext.broadcast(block)
 
         def make(shared=shared):
-            def run(c):
-                texts = list(map(words, c[place]))
-                clean = [not spans for part in shards(texts) for spans, _ in judge(texts[part], shared.value)]
-                return [[x for x, ok in zip(column, clean, strict=True) if ok] for column in c]
+            def run(texts):
+                split = list(map(words, texts))
+                return None, [not spans for part in shards(split) for spans, _ in judge(split[part], shared.value)]
 
             return run
 
-        documents = common.map_rows(documents, make, schema)
+        documents = common.map_text(documents, make)
     return documents
 
 

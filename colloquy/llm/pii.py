@@ -131,17 +131,12 @@ def find_pii(documents: DataFrame) -> DataFrame:
 
 def redact_texts(documents: DataFrame) -> DataFrame:
     """``documents`` with personal data replaced in text and n_chars following it; other columns stay."""
-    names = documents.columns
-    place = names.index("text")
 
     def make():
-        def run(c):
-            c[place] = [redact(t, find(t)) for t in c[place]]
-            return c
-
-        return run
+        return lambda texts: ([redact(t, find(t)) for t in texts], None)
 
-    out = common.map_rows(documents, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema))
+    out = common.map_text(documents, make)
+    names = documents.columns
     return out.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

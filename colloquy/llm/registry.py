@@ -6,7 +6,10 @@ from colloquy.llm import decontam, extraction, langid, packing, pii, quality, ru
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quality": quality.op1_quality,
         "op2_packing": packing.op2_packing,
         "op3_warc": warc.op3_warc,

@@ -131,8 +131,8 @@ def apply_rules(documents: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    rated = measured(documents)
-    return judged(rated, thresholds(rated.select("lang", "source", "_rules"))).where("_kept").drop("_rules", "_kept")
+    rated = measured(documents.select(F.struct("*").alias("_row"), "lang", "source", "text"))
+    return judged(rated, thresholds(rated.select("lang", "source", "_rules"))).where("_kept").select("_row.*")
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
