@@ -71,7 +71,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN,
     end = np.array([END], "<u4").tobytes()
 
     def make():
-        encode = vocab.Encoder(shared.value)
+        encode = vocab.kept(vocab.Encoder, shared.value)
         bins = OpenBins(capacity, most_open, TaskContext.get().partitionId() << 40)
         waiting: list[tuple] = []
 

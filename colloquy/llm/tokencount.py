@@ -18,16 +18,9 @@ from colloquy.llm import common, vocab
 LIMIT = 2048
 
 
-def _characters() -> dict[str, int]:
-    """Printable stand-ins of the bytes in a byte-level vocabulary."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 def whole_tokens(text: str, end: str = "</w>") -> list[str]:
     """Vocabulary strings that the library encodes alone as the one token that they name."""
-    tokenizer, byte = vocab.load(text), _characters()
+    tokenizer, byte = vocab.load(text), vocab.characters()
     named = {}
     for token, number in json.loads(text)["model"]["vocab"].items():
         if token.endswith(end):
@@ -73,7 +66,7 @@ def count_tokens(documents: DataFrame, vocabulary_path: str | None = None, limit
     shared = documents.sparkSession.sparkContext.broadcast((text, whole_tokens(text)))
 
     def make():
-        count = Counter(*shared.value)
+        count = vocab.kept(Counter, *shared.value)
 
         def run(c):
             n = list(map(count, c[1]))

@@ -1,10 +1,10 @@
-"""Public tokenizers, counted and encoded by pre-token.
+"""Public tokenizers, and a quicker way to the same ids.
 
-The merges of a byte-pair vocabulary never cross a pre-token, so the ids of a text are those of its
-pre-tokens in a row. Pre-tokens repeat, so each worker keeps a table of them and asks the library for a
-new one only. The split is done here for texts of Latin letters, common marks and white
-space, where all Unicode versions agree; any other text, and any that holds a special token's string, goes
-to the library as a whole.
+The merges of a byte-level vocabulary in the order of their ids are ranks, which a second library merges
+several times as fast; where a file's merges are in another order, its own library is used. The quick way is for texts
+of Latin letters, common marks and white space, where the split into pre-tokens doesn't depend on a library's Unicode
+version; any other text, and any that holds a special token's string, goes to the file's own library as a whole.
+What a worker process builds from a vocabulary it keeps for its next tasks.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ import json
 
 import numpy as np
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 #: How the two vocabulary files split a text.
-BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Anything else than plain white space, Latin letters, digits and common marks.
 UNUSUAL = regex.compile(r"[^\t-\r\x20-\x7e\xa0-įı-ɏ‐-‧‰-⁞€]")
@@ -49,17 +50,22 @@ def plain(text: str, specials: list[str]) -> bool:
     return not UNUSUAL.search(text) and not any(s in text for s in specials)
 
 
-class Ids(dict):
-    """Pre-token to its ids as little-endian unsigned 32-bit integers."""
+def ranks(text: str) -> dict[bytes, int] | None:
+    """Bytes of each token to its rank, if the file's merges make tokens in the order of their ids, else None."""
+    model, byte = json.loads(text)["model"], characters()
+    ids = model["vocab"]
+    made = [ids.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    singles = sorted(n for t, n in ids.items() if len(t) == 1)
+    if made != sorted(made) or singles != list(range(256)) or len(made) + 256 != len(ids) or made[:1] != [256]:
+        return None
+    return {bytes(byte[c] for c in token): n for token, n in ids.items()}
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > TABLE:
-            self.clear()
-        self[piece] = ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+def characters() -> dict[str, int]:
+    """Printable stand-ins of the bytes in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
 class Encoder:
@@ -67,10 +73,23 @@ class Encoder:
 
     def __init__(self, text: str):
         self.tokenizer, self.specials = load(text), special(text)
-        self.ids = Ids(self.tokenizer)
+        found = ranks(text)
+        self.core = found and tiktoken.Encoding("own", pat_str=BYTE_SPLIT, mergeable_ranks=found, special_tokens={})._core_bpe
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
-        if plain(text, self.specials):
-            return b"".join(map(self.ids.__getitem__, BYTE_SPLIT.findall(text)))
+        if self.core and plain(text, self.specials):
+            return bytes(self.core.encode_to_tiktoken_buffer(text, set()))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_kept: dict = {}
+
+
+def kept(kind: type, text: str, *more):
+    """``kind(text, *more)``, built once a worker process."""
+    key = (kind, hash(text))
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = kind(text, *more)
+    return _kept[key]
