@@ -21,7 +21,7 @@ _GAPS = re.compile(r"[ \t\r\n]+")
 _BLOB = r"\[[^\[\]]*\] *"
 #: What may stand before a subject, longest reading first; a blob counts only with something after it.
 _LEAD = re.compile(rf"(?:{_BLOB})*(?:re|fwd?) *(?:{_BLOB})?:", re.I)
-_ONE_BLOB = re.compile(rf"{_BLOB}(?=[\s\S])")
+_ONE_BLOB = re.compile(r"\[[^\[\]]*\] *+(?=[\s\S])")
 _TRAIL = re.compile(r"(?: |\(fwd\))+\Z", re.I)
 #: A subject without these needs no more than its gaps closed.
 _PLAIN = r"(?i)=\?|\[|\(fwd\)|\b(re|fwd?)\b|:"
