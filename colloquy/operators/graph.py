@@ -26,6 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+class CycleError(ValueError):
+    """Parents that lead back to a node itself, or to one that isn't in the table."""
+
+
 def climb(parents: DataFrame) -> DataFrame:
     """(node, root, depth) for every row of ``parents`` (node, parent; null for roots): an acyclic forest.
 
@@ -33,12 +37,16 @@ def climb(parents: DataFrame) -> DataFrame:
     left out of later joins.
     """
     now = staged(parents.select("node", F.coalesce("parent", "node").alias("at"), F.col("parent").isNotNull().cast("int").alias("depth"), F.col("parent").isNull().alias("settled")), "climb")
+    rounds = now.count().bit_length() + 1
     while True:
         step = now.select(F.col("node").alias("_n"), F.col("at").alias("_at"), F.col("depth").alias("_d"), F.col("settled").alias("_s"))
         moving = now.where("not settled").join(step, F.col("at") == F.col("_n"))
         # At a node that is settled and has depth 0 is a root; one that is settled lower knows its root.
         moved = moving.select("node", F.col("_at").alias("at"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_s").alias("settled"))
         now = staged(now.where("settled").unionByName(moved), "climb")
+        rounds -= 1
+        if rounds < 0:
+            raise CycleError("the parents of some nodes form a cycle")
         if not now.where("not settled").limit(1).count():
             return now.select("node", F.col("at").alias("root"), "depth")
 

@@ -1,11 +1,343 @@
-"""Named queries over the supplied tables, each with SQL that a second engine can run."""
+"""Named queries over the supplied tables, each with SQL that a second engine can run.
+
+Where a query pins cases that SQL can't compute (encoded words, case keys, odd dates), its SQL lists the expected values.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquy.functions.dates import sent_us
+from colloquy.functions.headers import effective_references, email_fingerprint, extract_reference_ids, normalize_message_id
+from colloquy.functions.text import base_subject, decode_header_text, unicode_casemap_key
+from colloquy.operators import threading as T
+from colloquy.operators.render import serialize_thread_data, serialize_thread_response
+from colloquy.plans import mailboxes as M
+from colloquy.session import ship
+from colloquy.sources.mail import parse_emails, thread_email_messages
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+#: The chain of conversations and its references, for SQL.
+CHAIN = "m AS (SELECT conv_id, turn, conv_id * 1000 + turn + 1 AS pos, 'c' || conv_id || '.t' || turn || '@ex' AS id FROM conversations)"
+REFS = f"{CHAIN}, r AS (SELECT a.conv_id, a.turn, a.pos, b.turn + 1 AS idx, b.id AS ref FROM m a JOIN m b ON b.conv_id = a.conv_id AND b.turn < a.turn)"
+GAPS = f"{REFS}, g AS (SELECT * FROM m WHERE turn <> 0 AND (conv_id + turn) % 5 <> 0), gr AS (SELECT r.* FROM r JOIN g USING (pos))"
+FORKS = "f AS (SELECT o_orderkey AS pos, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first, date_trunc('day', o_orderdate) AS d FROM orders)"
+
+
+def query(sql: str | None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = " ".join(sql.split())
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def positions(df: DataFrame, *names: str) -> DataFrame:
+    """Node names of messages as their positions; dummies as null."""
+    return df.withColumns({n: F.when(F.col(n).startswith("n:"), F.substring(n, 3, 30).cast("long")) for n in names})
+
+
+# Scalars
+
+
+@query(f"WITH {CHAIN} SELECT pos AS input_pos, CASE WHEN turn % 3 = 2 THEN NULL ELSE id END AS id FROM m")
+def normalize_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.chain(spark, sf_dir)
+    dressed = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" \t<"), "message_id", F.lit("> \n"))).when(F.col("turn") % 3 == 1, F.regexp_replace("message_id", "[<>]", "")).otherwise(" < > ")
+    return m.select("input_pos", normalize_message_id(dressed).alias("id"))
+
+
+@query(f"WITH {REFS} SELECT pos AS input_pos, idx, ref FROM r")
+def extract_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = F.concat(F.array_join("references", "\r\n "), F.lit(" "), F.coalesce(F.get("references", F.lit(0)), F.lit("")))
+    bare = F.when(F.col("turn") % 2 == 0, header).otherwise(F.regexp_replace(header, "[<>]", ""))
+    return M.chain(spark, sf_dir).select("input_pos", F.posexplode(extract_reference_ids(bare)).alias("idx", "ref")).select("input_pos", (F.col("idx") + 1).cast("long").alias("idx"), "ref")
+
+
+@query(f"WITH {CHAIN} SELECT a.pos AS input_pos, b.id AS ref FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1")
+def effective_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.replies(spark, sf_dir).withColumn("references", F.array(F.lit(" <> ")))
+    return m.select("input_pos", F.explode(effective_references("references", "in_reply_to")).alias("ref"))
+
+
+@query("SELECT conv_id, turn, sha256(lower('re ' || role || '|' || turn || '||me@ex')) AS fingerprint FROM conversations")
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = M.table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", email_fingerprint(F.concat(F.lit(" RE "), "role"), F.col("turn").cast("string"), F.lit(None).cast("string"), F.lit("Me@Ex\t")).alias("fingerprint"))
+
+
+@query("SELECT event_id, 'topic ' || user_id AS base, event_id % 4 <> 0 AS is_reply FROM events")
+def base_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.subjects(spark, sf_dir).withColumn("s", base_subject("subject")).select("event_id", "s.base", "s.is_reply")
+
+
+_SUBJECTS = [
+    ("Re: Fwd: FW: Hello", "Hello", True), ("\tRe:\r\n\tHello   World  ", "Hello World", True), ("[project] Re: Topic", "Topic", True), ("Re [project]: Topic", "Topic", True),
+    ("[outer] [inner] Topic", "Topic", False), ("[outer] [inner]", "[inner]", False), ("[project]", "[project]", False), ("Topic (fwd)  (FWD) ", "Topic", True),
+    ("[Fwd: Re: [project] Topic (fwd)]", "Topic", True), ("=?utf-8?q?Re=3A_=EC=95=88=EB=85=95?=", "안녕", True), ("", "", False), ("Re", "Re", False), ("Regarding: x", "Regarding: x", False),
+]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    one = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({names})"
+
+
+@query(_values([(i, b, r) for i, (_, b, r) in enumerate(_SUBJECTS)], "n, base, is_reply"))
+def subject_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame([(i, s) for i, (s, _, _) in enumerate(_SUBJECTS)], "n int, subject string")
+    return df.withColumn("s", base_subject("subject")).select("n", "s.base", "s.is_reply")
+
+
+_WORDS = [
+    ("Prefix =?utf-8?b?7JWI64WV?= suffix", "Prefix 안녕 suffix"), ("=?us-ascii?q?Hello?=", "Hello"), ("=?x-unknown?b?SGVsbG8=?=", "Hello"), ("=?utf-8?b?A?=", "=?utf-8?b?A?="),
+    ("plain", "plain"), (None, None), ("=?iso-8859-1?q?caf=E9?= =?utf-8?q?_ol=C3=A9?=", "café olé"),
+]
+
+
+@query(_values([(i, x) for i, (_, x) in enumerate(_WORDS)], "n, decoded"))
+def decode_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(_WORDS)], "n int, header string")
+    return df.select("n", decode_header_text("header").alias("decoded"))
+
+
+_KEYS = [("Topic", "TOPIC"), ("Ｔｏｐｉｃ", "TOPIC"), ("Ǆ", "Dž"), ("ǅ", "Dž"), ("ǆ", "Dž"), ("ß", "ß"), ("ﬀ", "ff"), ("é", "É"), ("Α", "Α"), ("", "")]
+
+
+@query(_values([(i, k) for i, (_, k) in enumerate(_KEYS)], "n, casemap"))
+def casemap_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(_KEYS)], "n int, value string")
+    return df.select("n", unicode_casemap_key("value").alias("casemap"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000000 * 1000000 - CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN -28800 WHEN 2 THEN 19800 WHEN 3 THEN 3600 ELSE -12600 END::BIGINT * 1000000 AS sent_us FROM events")
+def sent_date_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.dates(spark, sf_dir).select("event_id", sent_us("sent_date", "internal_date").alias("sent_us"))
+
+
+_DATES = [
+    ("31 Dec 2000 16:01:33 -0800", None, 978_307_293_000_000), ("Tue, 06 Jun 2017 07:39:33 +2600", None, 1_496_734_773_000_000), ("Tue, 06 Jun 2017 27:39:33 +0600", None, 1_496_685_600_000_000),
+    ("Tue, 06 Jun 2017", None, 1_496_707_200_000_000), (None, "17-Jul-1996 02:44:25 -0700", 837_596_665_000_000), ("not a date", "17-Jul-1996 02:44:25 -0700", 837_596_665_000_000),
+    ("unusable", "unusable", -62_135_596_800_000_000), ("Sat, 31 Dec 2016 23:59:60 +0000", None, 1_483_228_799_999_999), ("Tue, 06 Jun 2017 broken +0600", None, 1_496_685_600_000_000),
+    ("Tue, 06 Jun 2017 broken EST", None, 1_496_725_200_000_000), ("30 Feb 2026 12:00:00 +0000", "1 Jan 2026 00:00:00 +0000", 1_767_225_600_000_000),
+    ("31 Dec 9999 23:59:59 -2300", "1 Jan 2026 00:00:00 +0000", 1_767_225_600_000_000), ("  ", "1 Jan 2026 00:00:00 +0000", 1_767_225_600_000_000), ("01-Jan-2026 10:00:00", None, 1_767_299_160_000_000),
+]
+
+
+@query(_values([(i, us) for i, (_, _, us) in enumerate(_DATES)], "n, sent_us").replace("SELECT *", "SELECT n, sent_us::BIGINT AS sent_us"))
+def sent_date_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(_DATES)], "n int, sent_date string, internal_date string")
+    return df.select("n", sent_us("sent_date", "internal_date").alias("sent_us"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id + 1 ELSE event_id END AS number FROM events")
+def effective_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = M.subjects(spark, sf_dir).withColumn("sequence_number", F.when(F.col("event_id") % 2 == 0, F.col("event_id") + 1))
+    return e.select("event_id", F.coalesce("sequence_number", "input_pos").alias("number"))
+
+
+# Lookups by identifier
+
+
+@query(f"WITH {CHAIN} SELECT id, pos AS owner_pos FROM m")
+def id_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.owners(T.identified(M.doubled(spark, sf_dir))).select("id", "owner_pos")
+
+
+@query(f"WITH {CHAIN} SELECT pos + 500 AS input_pos, id FROM m WHERE conv_id % 10 = 0")
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = T.identified(M.doubled(spark, sf_dir))
+    own = T.owners(m).select(F.col("id").alias("_id"), "owner_pos")
+    return m.join(own, F.col("id") == F.col("_id")).where("input_pos <> owner_pos").select("input_pos", "id")
+
+
+@query(f"WITH {GAPS} SELECT DISTINCT ref AS id FROM gr WHERE ref NOT IN (SELECT id FROM g)")
+def missing_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = T.identified(M.gaps(spark, sf_dir))
+    said = T.mentions(m).select(F.col("ref").alias("id")).distinct()
+    return said.join(T.owners(m).select("id"), "id", "left_anti")
+
+
+@query(
+    f"""WITH {GAPS} SELECT 'c' || conv_id || '.t' || (idx - 1) || '@ex' AS parent, 'c' || conv_id || '.t' || idx || '@ex' AS child, pos AS at_pos, idx = turn AS own
+    FROM gr"""
+)
+def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = T.identified(M.gaps(spark, sf_dir))
+    met, nodes = T.place_nodes(m)
+    names = nodes.select(F.col("node_id").alias("_n"), F.col("message_id").alias("_id"))
+    edges = T.proposals(m, met)
+    for side in ("parent", "child"):
+        edges = edges.join(names, F.col(side) == F.col("_n")).withColumn(side, F.col("_id")).drop("_n", "_id")
+    return edges.select("parent", "child", "at_pos", "own")
+
+
+@query(
+    f"""WITH {GAPS}, n AS (SELECT conv_id, turn FROM g UNION SELECT conv_id, idx - 1 FROM gr)
+    SELECT 'c' || conv_id || '.t' || turn || '@ex' AS id, CASE WHEN turn > 0 THEN 'c' || conv_id || '.t' || (turn - 1) || '@ex' END AS parent FROM n"""
+)
+def presumed_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = T.link(M.gaps(spark, sf_dir)).nodes
+    names = nodes.select(F.col("node_id").alias("_n"), F.col("message_id").alias("parent"))
+    return nodes.join(names, F.col("parent_id") == F.col("_n"), "left").select(F.col("message_id").alias("id"), "parent")
+
+
+# Forests
+
+
+def _parents(forest: DataFrame) -> DataFrame:
+    f = positions(forest.select("input_pos", F.col("parent_id").alias("parent_pos")), "parent_pos")
+    return f.where("input_pos is not null")
+
+
+@query(f"WITH {CHAIN} SELECT pos AS input_pos, CASE WHEN turn > 0 THEN pos - 1 END AS parent_pos FROM m")
+def thread_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parents(T.thread_messages(M.chain(spark, sf_dir)))
+
+
+@query(f"WITH {CHAIN} SELECT pos AS input_pos, CASE WHEN turn > 0 THEN pos - 1 END AS parent_pos FROM m")
+def thread_parent_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parents(T.thread_messages(M.replies(spark, sf_dir)))
+
+
+@query(f"WITH {CHAIN} SELECT (1000 - turn) * 100000000 + conv_id AS input_pos, CASE WHEN turn > 0 THEN (1001 - turn) * 100000000 + conv_id END AS parent_pos FROM m")
+def thread_parent_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parents(T.thread_messages(M.shuffled(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {CHAIN}, d AS (SELECT pos, turn, pos AS own FROM m UNION ALL SELECT pos + 500, turn, pos FROM m WHERE conv_id % 10 = 0)
+    SELECT pos AS input_pos, CASE WHEN turn > 0 THEN own - 1 END AS parent_pos FROM d"""
+)
+def thread_parent_doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parents(T.thread_messages(M.doubled(spark, sf_dir)))
+
+
+@query(f"WITH {CHAIN} SELECT pos AS input_pos, id, row_number() OVER (ORDER BY pos)::INTEGER AS root_ord FROM m WHERE turn = 0")
+def thread_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.thread_messages(M.chain(spark, sf_dir)).where("parent_id is null").select("input_pos", F.col("message_id").alias("id"), "root_ord")
+
+
+@query(f"WITH {CHAIN} SELECT min(pos) AS root_pos, count(*) AS n_messages FROM m GROUP BY conv_id")
+def thread_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = T.thread_messages(M.chain(spark, sf_dir))
+    return positions(forest.groupBy(F.col("root_id").alias("root_pos")).agg(F.count("input_pos").alias("n_messages")), "root_pos")
+
+
+@query(f"WITH {CHAIN} SELECT pos AS input_pos, turn::INTEGER AS depth FROM m")
+def thread_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.thread_messages(M.chain(spark, sf_dir)).select("input_pos", "depth")
+
+
+@query(f"WITH {CHAIN} SELECT min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_messages FROM m GROUP BY conv_id")
+def cyclic_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = T.thread_messages(M.circular(spark, sf_dir))
+    return forest.groupBy("root_id").agg(F.min("input_pos").alias("first_pos"), F.max("input_pos").alias("last_pos"), F.count("input_pos").alias("n_messages")).drop("root_id")
+
+
+@query(f"WITH {GAPS} SELECT pos AS input_pos, lag(pos) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_pos FROM g")
+def pruned_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parents(T.thread_messages(M.gaps(spark, sf_dir)))
+
+
+@query(f"WITH {FORKS} SELECT 'o' || first || '@ex' AS id, count(*) AS n_children FROM f WHERE pos > first GROUP BY first HAVING count(*) > 1")
+def retained_dummy_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = T.thread_messages(M.rootless(spark, sf_dir))
+    dummies = forest.where("is_dummy").select(F.col("node_id").alias("_n"), F.col("message_id").alias("id"))
+    return forest.join(dummies, F.col("parent_id") == F.col("_n")).groupBy("id").agg(F.count("*").alias("n_children"))
+
+
+@query(f"WITH {FORKS} SELECT pos AS input_pos, (row_number() OVER (PARTITION BY first ORDER BY pos))::INTEGER AS sibling_ord FROM f WHERE pos > first")
+def sibling_order_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.thread_messages(M.forks(spark, sf_dir)).where("parent_id is not null").select("input_pos", "sibling_ord")
+
+
+@query(f"WITH {FORKS} SELECT pos AS input_pos, (row_number() OVER (PARTITION BY first ORDER BY d, pos))::INTEGER AS sibling_ord FROM f WHERE pos > first")
+def sibling_order_sent_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.thread_messages(M.forks(spark, sf_dir), sort_by_sent_date=True).where("parent_id is not null").select("input_pos", "sibling_ord")
+
+
+@query(
+    f"""WITH {FORKS}, c AS (SELECT first, pos, d, count(*) OVER (PARTITION BY first) AS n FROM f WHERE pos > first),
+    k AS (SELECT first, min(d) AS d, min_by(pos, (d, pos)) AS pos, any_value(n) AS n FROM c GROUP BY first)
+    SELECT CASE WHEN n = 1 THEN pos END AS input_pos, CASE WHEN n > 1 THEN 'o' || first || '@ex' ELSE 'o' || pos || '@ex' END AS id, (row_number() OVER (ORDER BY d, pos))::INTEGER AS root_ord FROM k"""
+)
+def root_order_sent_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.thread_messages(M.rootless(spark, sf_dir), sort_by_sent_date=True).where("parent_id is null").select("input_pos", F.col("message_id").alias("id"), "root_ord")
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id, event_id % 4 <> 0 AS reply FROM events),
+    a AS (SELECT user_id, min(event_id) FILTER (NOT reply) AS original, min(event_id) AS first, count(*) AS n FROM e GROUP BY user_id),
+    s AS (SELECT e.user_id, min(event_id) AS start FROM e JOIN a USING (user_id) WHERE CASE WHEN original IS NULL THEN event_id > first ELSE NOT reply AND event_id > original END GROUP BY e.user_id)
+    SELECT event_id, CASE WHEN start IS NULL OR (event_id < start AND event_id <> coalesce(original, first)) THEN CASE WHEN event_id <> coalesce(original, first) THEN coalesce(original, first) END ELSE -1 END AS parent_pos
+    FROM e JOIN a USING (user_id) LEFT JOIN s USING (user_id)"""
+)
+def subject_grouped_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = T.thread_messages(M.subjects(spark, sf_dir), group_by_subject=True).where("not is_dummy")
+    parent = F.when(F.col("parent_id").startswith("m:"), F.lit(-1).cast("long")).otherwise(F.substring("parent_id", 3, 30).cast("long"))
+    return forest.select(F.col("input_pos").alias("event_id"), parent.alias("parent_pos"))
+
+
+# Responses
+
+
+@query(f"WITH {CHAIN}, t AS (SELECT conv_id, '(' || string_agg(pos::VARCHAR, ' ' ORDER BY turn) || ')' AS list FROM m GROUP BY conv_id) SELECT 'THREAD ' || string_agg(list, '' ORDER BY conv_id) AS data FROM t")
+def imap_thread_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.chain(spark, sf_dir)
+    return serialize_thread_data(T.thread_messages(m), m, identifier=F.col("input_pos")).select("data")
+
+
+@query(
+    f"""WITH {FORKS}, t AS (SELECT first, count(*) AS n, string_agg('(' || (pos + 7) || ')', '' ORDER BY pos) FILTER (pos > first) AS many, max(pos + 7) AS one FROM f GROUP BY first)
+    SELECT '* THREAD ' || string_agg('(' || (first + 7) || CASE n WHEN 1 THEN '' WHEN 2 THEN ' ' || one ELSE ' ' || many END || ')', '' ORDER BY first) AS response FROM t"""
+)
+def imap_uid_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.forks(spark, sf_dir).withColumn("uid", F.col("input_pos") + 7)
+    return serialize_thread_response(T.thread_messages(m), m, identifier="uid", line_ending="").select("response")
+
+
+@query(
+    f"""WITH {FORKS}, t AS (SELECT first, first % 3 <> 0 AS top, count(*) FILTER (pos > first AND pos % 3 <> 0) AS n, string_agg('(' || pos || ')', '' ORDER BY pos) FILTER (pos > first AND pos % 3 <> 0) AS many,
+    max(pos) FILTER (pos > first AND pos % 3 <> 0) AS one FROM f GROUP BY first)
+    SELECT 'THREAD ' || string_agg(CASE WHEN top AND n = 0 THEN '(' || first || ')' WHEN top AND n = 1 THEN '(' || first || ' ' || one || ')' WHEN top THEN '(' || first || ' ' || many || ')'
+    WHEN n = 0 THEN '' WHEN n = 1 THEN many ELSE '(' || many || ')' END, '' ORDER BY first) AS data FROM t"""
+)
+def imap_search_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.forks(spark, sf_dir)
+    return serialize_thread_data(T.thread_messages(m), m, identifier=F.col("input_pos"), include=F.col("input_pos") % 3 != 0).select("data")
+
+
+# Raw mail
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.chain(spark, sf_dir)
+    text = F.concat(
+        F.lit("Message-ID: "), "message_id", F.lit("\r\nSubject: =?utf-8?q?caf=C3=A9_"), F.col("conv_id").cast("string"), F.lit("?=\r\nReferences: "), F.array_join("references", "\r\n "),
+        F.lit("\r\nDate: Tue, 06 Jun 2017 07:39:33 +0000\r\n\r\nbody\r\n"),
+    )
+    return m.select("input_pos", "conv_id", text.cast("binary").alias("raw"))
+
+
+@query(f"WITH {CHAIN} SELECT pos AS input_pos, '<' || id || '>' AS message_id, 'café ' || conv_id AS subject, 'Tue, 06 Jun 2017 07:39:33 +0000' AS sent_date FROM m")
+def parsed_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_emails(_raw(spark, sf_dir)).select("input_pos", "message_id", "subject", "sent_date")
+
+
+@query(f"WITH {CHAIN} SELECT pos AS input_pos, CASE WHEN turn > 0 THEN pos - 1 END AS parent_pos FROM m")
+def email_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parents(thread_email_messages(_raw(spark, sf_dir)))
