@@ -59,7 +59,7 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
 def split_mbox(data: bytes) -> list[bytes]:
     """Messages of an mbox file, their quoted From lines restored."""
     cuts = [m.span() for m in _FROM.finditer(data)]
-    ends = [a for a, _ in cuts[1:]] + [len(data)]
+    ends = [*[a for a, _ in cuts[1:]], *([len(data)] if cuts else [])]
     return [re.sub(rb"(?m)^>(>*From )", rb"\1", data[start:end]) for (_, start), end in zip(cuts, ends, strict=True)]
 
 
