@@ -131,7 +131,8 @@ def apply_rules(documents: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    rated = measured(documents.select(F.struct("*").alias("_row"), "lang", "source", "text"))
+    rated = measured(documents.select(F.struct("*").alias("_row"), "lang", "source", "text")).drop("text")
+    rated = common.staged(rated, "rated")  # the metrics cost more than writing the rows once
     return judged(rated, thresholds(rated.select("lang", "source", "_rules"))).where("_kept").select("_row.*")
 
 
