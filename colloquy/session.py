@@ -9,8 +9,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Settings that bound what a Python worker is sent at once: name, Spark's default, ours.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"))
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package's modules to the Python workers, once a context; Spark's file server carries them."""
+    """Send this package's modules to the Python workers, once a context; Spark's file server carries them.
+
+    Arrow batches are made small enough for long texts, in a session that has Spark's default for their size.
+    """
+    for name, default, ours in BATCHES:
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, ours)
     context = spark.sparkContext
     if getattr(context, "_colloquy_shipped", False):
         return spark
