@@ -4,7 +4,7 @@ A fingerprint has 64 bits in ``BLOCKS`` blocks. Two fingerprints that differ in
 least ``BLOCKS - DISTANCE`` whole blocks, so each distinct fingerprint is dealt out once for every choice
 of that many blocks, with their bits as the key. Rows of a key meet in one task, which verifies Hamming
 distances and gives back a spanning star for each group of linked ones: never all pairs. A key with more
-than ``CROWD`` fingerprints is split by the same rule over the bits that it leaves open, until no key is crowded, so
+than ``CROWD`` fingerprints is cut into chunks of about that many, and every two chunks meet in a task of their own, so
 no link is lost and no task holds an unbounded group. Components are then found by alternating large and
 small stars, each step written to the shared folder.
 
@@ -146,34 +146,26 @@ def _link_groups(batches: Iterable[pa.RecordBatch], crowd: int, distance: int) -
 
 
 def links(distinct: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
-    """Links (a > b as unsigned) whose connected components are those of all pairs within ``distance`` bits."""
-    spark = common.ship(distinct.sparkSession)
-    rows = distinct.select("fp", F.lit(0).cast("long").alias("was"))
-    below = {0: masks(list(range(64)), blocks, distance)}
-    found = []
-    while True:
-        table = F.create_map(*[x for m, subs in below.items() for x in (F.lit(m).cast("long"), F.array(*[F.lit(m | s).cast("long") for s in subs]))])
-        dealt = rows.select("fp", F.explode(table[F.col("was")]).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        sorted_ = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key")
-        level = common.staged(sorted_.mapInArrow(lambda it: _link_groups(it, crowd, distance), "a long, b long, crowded boolean"), "links")
-        found.append(level.where(~F.col("crowded")).select("a", "b"))
-        crowded = level.where("crowded").select(F.col("a").alias("fp"), F.col("b").alias("was")).distinct()
-        hot = [r["was"] for r in crowded.select("was").distinct().collect()]
-        if not hot:
-            break
-        below = {m: masks([b for b in range(64) if not (m >> b) & 1], blocks, distance) for m in hot}
-        if tight := [m for m in hot if not below[m]]:
-            # So few open bits that all values of such a key are close: a star to the smallest links them.
-            closed = crowded.where(F.col("was").isin(tight)).withColumn("key", F.col("fp").bitwiseAND(F.col("was")))
-            least = common.staged(closed.groupBy("was", "key").agg(F.min("fp").alias("b")), "least")
-            found.append(closed.join(least, ["was", "key"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
-            below = {m: s for m, s in below.items() if s}
-        if not below:
-            break
-        rows = crowded.where(F.col("was").isin(*below))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    """Links (a, b) whose connected components are those of all pairs within ``distance`` bits."""
+    common.ship(distinct.sparkSession)
+    kinds = F.explode(F.array(*[F.lit(m).cast("long") for m in masks(list(range(64)), blocks, distance)]))
+    dealt = distinct.select("fp", kinds.alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+
+    def linked(rows: DataFrame, most: int) -> DataFrame:
+        laid = rows.repartition("mask", "key").sortWithinPartitions("mask", "key")
+        return common.staged(laid.mapInArrow(lambda batches: _link_groups(batches, most, distance), "a long, b long, crowded boolean"), "links")
+
+    found = linked(dealt, crowd)
+    out = found.where("not crowded").select("a", "b")
+    crowded = found.where("crowded")
+    if crowded.limit(1).count():
+        # A crowded key is dealt to tiles: its values fall into chunks, and every two chunks meet in a task.
+        crowded = crowded.select(F.col("a").alias("fp"), F.col("b").alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        chunks = common.staged(crowded.groupBy("mask", "key").agg(F.ceil(F.count("*") / crowd).cast("int").alias("chunks")), "chunks")
+        placed = crowded.join(chunks, ["mask", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+        tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("other <> own or chunks = 1")
+        tiles = tiles.select("mask", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+        out = out.unionByName(linked(tiles, 1 << 62).select("a", "b"))
     return out.distinct()
 
 
