@@ -1,9 +1,7 @@
-"""What the corpus operators share: table access, scratch tables in the shared folder, batch helpers."""
+"""What the corpus operators share: table access, scratch tables, and maps over slices of rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.session import ship
+from colloquy.staging import scratch_path, staged
+
+__all__ = ["map_rows", "map_text", "read", "remainder", "scratch_path", "ship", "staged"]
 
 #: Rows of an Arrow batch that a worker turns into Python objects at once.
 SLICE_ROWS = 256
@@ -20,36 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where that setting is absent and Spark runs in one process is a temporary folder used.
-    """
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not hasattr(shared_dir, "own"):
-        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="colloquy-")
-    return shared_dir.own
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here and lost executors cost nothing.
-
-    The reread table carries its true size, so the planner broadcasts it only where it is small.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remainder(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo ``n``."""
     return F.crc32(key.cast("string")) % F.lit(n)
@@ -71,7 +42,7 @@ def map_rows(df: DataFrame, make: Callable, schema: str, slice_rows: int = SLICE
 
         def batch_of(columns: list) -> Iterator[pa.RecordBatch]:
             if columns and len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
             for i in range(0, batch.num_rows, slice_rows):

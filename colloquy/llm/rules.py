@@ -99,13 +99,16 @@ def thresholds(rated: DataFrame, k: int = SKETCH_K, group_rows: int = GROUP_ROWS
     groups = common.staged(groups, "sketches")
     merged = [F.expr(f"kll_merge_agg_double({m})").alias(f"_{m}") for m in SPREAD]
     langs = groups.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("_n"), *merged)
-    everything = groups.agg(F.sum("n").alias("all_n"), *[c.alias(f"all_{m}") for c, m in zip(merged, SPREAD, strict=True)])
-    both = groups.join(langs, groups["lang"].eqNullSafe(langs["_lang"])).join(F.broadcast(everything))  # one row
+    # One row of sketches, whose size the sketches bound.
+    everything = groups.agg(F.sum("n").alias("_n"), *merged).first()
+    both = groups.join(langs, groups["lang"].eqNullSafe(langs["_lang"]))
 
     def limit(m: str) -> Column:
-        sketch = F.when(F.col("n") >= group_rows, F.col(m)).when(F.col("_n") >= group_rows, F.col(f"_{m}")).otherwise(F.col(f"all_{m}"))
+        if not everything["_n"]:
+            return F.lit(None).cast("double").alias(m)
+        sketch = F.when(F.col("n") >= group_rows, F.col(m)).when(F.col("_n") >= group_rows, F.col(f"_{m}")).otherwise(F.lit(bytes(everything[f"_{m}"])))
         quartile = lambda q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
-        return F.when(F.col("all_n") > 0, quartile(0.75) + REACH * F.greatest(quartile(0.75) - quartile(0.25), F.lit(SPREAD[m]))).alias(m)
+        return (quartile(0.75) + REACH * F.greatest(quartile(0.75) - quartile(0.25), F.lit(SPREAD[m]))).alias(m)
 
     return common.staged(both.select("lang", "source", *map(limit, SPREAD)), "thresholds")
 
@@ -139,3 +142,29 @@ def keep_good(documents: DataFrame) -> DataFrame:
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_rules(common.read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    """The contract of op6 for DuckDB. Its quantiles are exact, as sketches are of up to ``SKETCH_K`` documents."""
+    quartiles = ", ".join(f"quantile_disc({m}, 0.25) AS {m}_1, quantile_disc({m}, 0.75) AS {m}_3" for m in SPREAD)
+    chosen = lambda m, k: f"CASE WHEN g.n >= {GROUP_ROWS} THEN g.{m}_{k} WHEN l.n >= {GROUP_ROWS} THEN l.{m}_{k} ELSE a.{m}_{k} END"
+    within = " AND ".join(f"coalesce({m} <= {chosen(m, 3)} + {REACH} * greatest({chosen(m, 3)} - {chosen(m, 1)}, {v}), true)" for m, v in SPREAD.items())
+    return rf"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i+7], ' ') AS s FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 7)) AS i FROM w WHERE len(words) >= 8)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM again) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+b AS (SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  length(t) - length(translate(t, '!?;:_~^=+\/@', '')) AS n_marks, length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper,
+  coalesce(ln.n, 0) AS n_lines, coalesce(ln.dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
+m AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbol_rate, n_marks / greatest(n_words, 1) AS mark_rate,
+  n_upper / greatest(word_chars, 1) AS upper_rate, n_dup_lines / greatest(n_lines, 1) AS dup_line_rate, n_repeat_words / greatest(n_words, 1) AS repeat_rate, greatest(word_chars, 1) / greatest(n_words, 1) AS word_length FROM b),
+ok AS (SELECT * FROM m WHERE NOT base_failed),
+g AS (SELECT lang, source, count(*) AS n, {quartiles} FROM ok GROUP BY lang, source), l AS (SELECT lang, count(*) AS n, {quartiles} FROM ok GROUP BY lang), a AS (SELECT {quartiles} FROM ok)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {within} AS kept
+FROM m LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a
+"""
+
+
+SQL = _sql()

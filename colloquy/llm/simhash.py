@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import common
+from colloquy.operators.graph import components
 
 SHINGLE, SEED, DISTANCE, BLOCKS, CROWD = 4, 42, 4, 6, 8192
 
@@ -169,30 +170,12 @@ def links(distinct: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, c
     return out.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, root) of every value in ``edges`` (a, b) other than a root itself: root is the smallest value that it reaches."""
-    now = common.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = mark(now)
-    while before[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = common.staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = common.staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = common.staged(small.distinct(), "small")
-        if (after := mark(now)) == before:
-            break
-        before = after
-    return now.select("u", F.col("v").alias("root"))
-
-
 def near_duplicates(documents: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach, of every document."""
     marked = common.staged(fingerprints(documents), "fingerprints")
     distinct = common.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, blocks, distance, crowd))
-    rooted = common.staged(distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "first", "root", F.coalesce("root", "fp").alias("of")), "rooted")
+    rooted = common.staged(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "root", F.coalesce("root", "fp").alias("of")), "rooted")
     named = common.staged(rooted.groupBy("of").agg(F.min("first").alias("component_id")), "named")
     known = common.staged(rooted.select("fp", "of").join(named, "of").select("fp", "component_id"), "known")
     return marked.join(known, "fp").select("doc_id", "fp", "component_id")

@@ -463,7 +463,7 @@ def test_crowded_keys_lose_no_link(spark, crowd):
     pairs = [*enumerate(sorted(values))]
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for _, f in pairs], "fp long")
-    found = {x["u"]: x["root"] for x in simhash.components(simhash.links(df, crowd=crowd)).collect()}
+    found = {x["node"]: x["root"] for x in simhash.components(simhash.links(df, crowd=crowd)).collect()}
     want = brute_components(pairs)
     groups = lambda key: sorted(sorted(f for _, f in g) for g in _grouped(pairs, key).values())
     assert groups(lambda p: found.get(signed(p[1]), signed(p[1]))) == groups(lambda p: want[p[0]])
