@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ CAPACITY = 1024
 END = 2
 #: Open sequences, and pieces that wait to be placed, of a task.
 OPEN, AHEAD = 4096, 16384
+#: Bytes of kept token ids that wait at most (about).
+AHEAD_BYTES = 8_000_000
 
 
 class OpenBins:
@@ -77,9 +80,12 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN,
 
         def placed() -> list[list]:
             waiting.sort(key=lambda row: -row[3])
-            rows = [(*row[:5], *bins.place(row[3]), *([np.frombuffer(row[5], "<u4").tolist()] if keep_ids else [])) for row in waiting]
+            columns = list(map(list, zip(*((*row[:5], *bins.place(row[3])) for row in waiting), strict=True)))
+            if keep_ids and waiting:
+                ends = np.cumsum([0, *(row[3] for row in waiting)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(row[5] for row in waiting), "<i4")))
             waiting.clear()
-            return list(map(list, zip(*rows, strict=True)))
+            return columns
 
         def run(c):
             for doc_id, text in zip(*c, strict=True):
@@ -88,11 +94,12 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN,
                     own = ids[4 * start : 4 * (start + n)]
                     waiting.append((doc_id, piece, start, n, zlib.crc32(own), own if keep_ids else b""))
                     start += n
-            return placed() if len(waiting) >= ahead else []
+            full = len(waiting) >= ahead or keep_ids and sum(len(row[5]) for row in waiting) > AHEAD_BYTES
+            return placed() if full else []
 
         return run, placed
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<long>" * keep_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * keep_ids
     return common.map_rows(documents.select("doc_id", F.col("text").cast("string").alias("text")), make, schema)
 
 
