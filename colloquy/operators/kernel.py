@@ -7,8 +7,6 @@ asked by climbing from the parent, which needs no lists of children.
 
 from __future__ import annotations
 
-import pandas as pd
-
 LAST = 2_147_483_647
 PARENTS = "mailbox_id string, node_id string, parent_id string, at_pos long, at_idx int"
 
@@ -33,9 +31,7 @@ def choose_parents(messages: list[tuple[int, str, list[str]]]) -> dict[str, tupl
     return parent
 
 
-def link_component(group: pd.DataFrame) -> pd.DataFrame:
-    """``choose_parents`` for a grouped map over (mailbox_id, input_pos, node_id, chain)."""
-    rows = [(int(p), n, list(c)) for p, n, c in zip(group["input_pos"], group["node_id"], group["chain"], strict=True)]
-    box = group["mailbox_id"].iloc[0]
-    out = [(box, node, *found) for node, found in choose_parents(rows).items()]
-    return pd.DataFrame(out, columns=["mailbox_id", "node_id", "parent_id", "at_pos", "at_idx"])
+def link_component(rows: list[tuple]) -> list[tuple]:
+    """``choose_parents`` for the rows (root, mailbox_id, input_pos, node_id, chain) of one component."""
+    found = choose_parents([(position, node, chain) for _, _, position, node, chain in rows])
+    return [(rows[0][1], node, *where) for node, where in found.items()]

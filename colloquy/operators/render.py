@@ -7,13 +7,13 @@ call of a grouped map, and the texts of a mailbox are joined by their root's ord
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.operators.fold import fold_groups
 from colloquy.operators.graph import CycleError, climb
 from colloquy.schema import as_mailbox
-from colloquy.session import ship
+from colloquy.staging import staged
 
 #: Largest identifier of a response.
 MOST = 4_294_967_295
@@ -69,23 +69,19 @@ def render_thread(nodes: list[tuple[str, str | None, int, int | None]]) -> str:
     return _flatten(out)
 
 
-def _render_group(group: pd.DataFrame) -> pd.DataFrame:
-    rows = [
-        (n, None if pd.isna(p) else p, int(s), None if pd.isna(x) else int(x))
-        for n, p, s, x in zip(group["node_id"], group["parent_id"], group["sibling_ord"], group["number"].astype("object"), strict=True)
-    ]
-    first = group.iloc[0]
-    return pd.DataFrame([(first["box"], int(first["root_ord"]), render_thread(rows))], columns=["box", "root_ord", "text"])
+def _render_group(rows: list[tuple]) -> list[tuple]:
+    """A row of (box, root_ord, text) from one thread's (box, root_id, node_id, parent_id, sibling_ord, root_ord, number)."""
+    return [(rows[0][0], rows[0][5], render_thread([(r[2], r[3], r[4], r[6]) for r in rows]))]
 
 
-def _checked(selected: DataFrame, forest: DataFrame) -> None:
+def _checked(selected: DataFrame) -> None:
     bad = selected.where("selected and (number is null or number <= 0 or number > 4294967295)").select("number").first()
     if bad:
         raise ThreadSerializationError("message identifier must be a positive integer in the unsigned 32-bit range")
     twice = selected.where("selected").groupBy("box", "number").count().where("count > 1").select("number").first()
     if twice:
         raise ThreadSerializationError(f"duplicate identifier in THREAD response: {twice['number']}")
-    if forest.groupBy("mailbox_id", "node_id").count().where("count > 1").limit(1).count():
+    if selected.groupBy("box", "node_id").count().where("count > 1").limit(1).count():
         raise ThreadSerializationError("a node appears in multiple positions")
 
 
@@ -110,7 +106,6 @@ def serialize_thread_data(forest: DataFrame, messages: DataFrame, *, identifier:
         raise ValueError("identifier must be 'sequence_number', 'uid', or a column")
     if include is not None and not isinstance(include, Column):
         raise TypeError("include must be a column")
-    ship(forest.sparkSession)
     if not isinstance(identifier, Column) and identifier not in messages.columns:
         messages = as_mailbox(messages)
     number = identifier if isinstance(identifier, Column) else F.col(identifier)
@@ -119,13 +114,15 @@ def serialize_thread_data(forest: DataFrame, messages: DataFrame, *, identifier:
     facts = messages.select(box.alias("_b"), F.col("input_pos").cast("long").alias("_pos"), chosen.alias("_chosen"), number.cast("long").alias("_number"))
     selected = forest.select(F.coalesce("mailbox_id", F.lit("")).alias("box"), "node_id", "parent_id", "root_id", "sibling_ord", "root_ord", "input_pos").join(facts, (F.col("box") == F.col("_b")) & (F.col("input_pos") == F.col("_pos")), "left")
     selected = selected.withColumn("selected", F.coalesce("_chosen", F.lit(False))).withColumn("number", F.when(F.col("selected"), F.col("_number"))).drop("_b", "_pos", "_chosen", "_number", "input_pos")
+    selected = staged(selected, "selected")
     if validate:
         check_forest(forest)
-    _checked(selected, forest)
-    texts = selected.drop("selected").groupBy("box", "root_id").applyInPandas(_render_group, "box string, root_ord int, text string").where("text <> ''")
+    _checked(selected)
+    threads = selected.select("box", "root_id", "node_id", "parent_id", "sibling_ord", "root_ord", "number")
+    texts = fold_groups(threads, ["box", "root_id"], _render_group, "box string, root_ord int, text string").where("text <> ''")
     lists = texts.groupBy("box").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("root_ord", "text"))), lambda s: s["text"]), "").alias("lists"))
-    boxes = forest.select("mailbox_id", F.coalesce("mailbox_id", F.lit("")).alias("box")).distinct()
-    return boxes.join(lists, "box", "left").select("mailbox_id", F.when(F.col("lists").isNull(), F.lit("THREAD")).otherwise(F.concat(F.lit("THREAD "), F.col("lists"))).alias("data"))
+    boxes = selected.select("box").distinct()
+    return boxes.join(lists, "box", "left").select(F.nullif("box", F.lit("")).alias("mailbox_id"), F.when(F.col("lists").isNull(), F.lit("THREAD")).otherwise(F.concat(F.lit("THREAD "), F.col("lists"))).alias("data"))
 
 
 def serialize_thread_response(forest: DataFrame, messages: DataFrame, *, identifier: str | Column = "sequence_number", include: Column | None = None, line_ending: str = "\r\n", validate: bool = False) -> DataFrame:

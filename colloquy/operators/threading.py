@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.dates import EARLIEST, sent_us
 from colloquy.functions.headers import effective_references, normalize_message_id
 from colloquy.functions.text import base_subject, unicode_casemap_key
+from colloquy.operators.fold import fold_groups
 from colloquy.operators.graph import climb, components, ranked
 from colloquy.operators.kernel import LAST, PARENTS, link_component
 from colloquy.schema import NODE_SCHEMA, as_mailbox
@@ -124,7 +125,7 @@ def link(messages: DataFrame) -> Linked:
         # A chain's nodes are all of one component; that of its first node names it, even where the message proposes nothing for itself.
         owned = owned.withColumn("_first", F.concat(_box(), F.lit(SEPARATOR), F.element_at("chain", 1)))
         owned = owned.join(marked, F.col("_first") == F.col("node")).select("mailbox_id", "input_pos", "node_id", "chain", "root")
-        walked = owned.groupBy("root").applyInPandas(link_component, PARENTS)
+        walked = fold_groups(owned.select("root", "mailbox_id", "input_pos", "node_id", "chain"), ["root"], link_component, PARENTS)
         parents = sure.unionByName(walked.select("mailbox_id", "node_id", F.col("parent_id").alias("parent"), "at_pos", "at_idx"))
     right = parents.select(_box().alias("_b"), F.col("node_id").alias("_n"), "parent", "at_pos", "at_idx")
     joined = nodes.join(right, (_box() == F.col("_b")) & (F.col("node_id") == F.col("_n")), "left")
