@@ -68,12 +68,14 @@ def _text_us(c: Column) -> Column:
 
     @pandas_udf("long")
     def parsed(s: pd.Series) -> pd.Series:
-        return pd.Series([micros_of(x) for x in s], dtype="Int64")
+        return pd.Series([None if x is None else micros_of(x) for x in s], dtype="Int64")
 
     quick = F.unix_micros(F.try_to_timestamp(F.regexp_extract(c, _COMMON, 1), F.lit("d MMM yyyy HH:mm:ss Z")))
     # The quick reading holds where the zone is sound and the year isn't a matter of a calendar reform.
     sound = c.rlike(_COMMON) & c.rlike("[+-](?:0\\d|1[0-4])[0-5]\\d$") & c.rlike(" (?:19|20)\\d\\d ")
-    return F.when(c.isNull(), F.lit(None).cast("long")).when(sound & quick.isNotNull(), quick).otherwise(parsed(c))
+    read = sound & quick.isNotNull()
+    # Python sees every row of a column that it is called for: those that it need not read are null there.
+    return F.when(c.isNull(), F.lit(None).cast("long")).when(read, quick).otherwise(parsed(F.when(F.coalesce(read, F.lit(False)), F.lit(None)).otherwise(c)))
 
 
 def sent_us(sent_date: Column | str, internal_date: Column | str, sent_ts: Column | None = None, internal_ts: Column | None = None) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 REFERENCE_PATTERN = "<([^>]+)>"
 #: Fixed value: the white space that Python's str methods strip.
 _SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: Most identifiers: plain ASCII in at most one pair of brackets.
+_TIDY = "^<?[!-;=?-~]+>?$"
 
 
 def _col(c: Column | str) -> Column:
@@ -22,8 +24,9 @@ def strip(c: Column | str) -> Column:
 
 def normalize_message_id(c: Column | str) -> Column:
     """An identifier without white space and angle brackets around it; null if nothing is left."""
+    c = _col(c)
     inner = F.regexp_replace(strip(c), "^[<>]+|[<>]+$", "")
-    return F.nullif(strip(inner), F.lit(""))
+    return F.when(c.rlike(_TIDY), F.btrim(c, F.lit("<>"))).otherwise(F.nullif(strip(inner), F.lit("")))
 
 
 def extract_reference_ids(c: Column | str) -> Column:

@@ -1,7 +1,7 @@
 """Header text: encoded words, base subjects, and keys that ignore case.
 
-Most headers are plain, so each function has a path of built-in expressions for those and calls Python, in
-Arrow batches, for the rest alone.
+Most headers are plain, so each function has a path of built-in expressions for those; Python gets the rest, in
+Arrow batches in which the plain ones are null.
 """
 
 from __future__ import annotations
@@ -91,7 +91,8 @@ def _apply(function, kind: str):
 
 def decode_header_text(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.contains(c, F.lit("=?")) | c.rlike("[^\\x00-\\x7f]"), _apply(decode_text, "string")(c)).otherwise(c)
+    encoded = F.contains(c, F.lit("=?"))
+    return F.when(encoded, _apply(decode_text, "string")(F.when(encoded, c))).otherwise(c)
 
 
 def base_subject(c: Column | str) -> Column:
@@ -100,14 +101,16 @@ def base_subject(c: Column | str) -> Column:
 
     @pandas_udf(BASE)
     def parsed(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([base_subject_of(x) for x in s], columns=["base", "is_reply"])
+        return pd.DataFrame([("", False) if x is None else base_subject_of(x) for x in s], columns=["base", "is_reply"])
 
     c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
     closed = F.regexp_replace(F.regexp_replace(c, "[ \\t\\r\\n]+", " "), "^ +| +$", "")
     plain = F.struct(closed.alias("base"), F.lit(False).alias("is_reply"))
-    return F.when(c.rlike(_PLAIN) | c.rlike("[^\\x00-\\x7f]"), parsed(c)).otherwise(plain)
+    dressed = c.rlike(_PLAIN)
+    return F.when(dressed, parsed(F.when(dressed, c))).otherwise(plain)
 
 
 def unicode_casemap_key(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.rlike("[^\\x00-\\x7f]"), _apply(casemap, "string")(c)).otherwise(F.upper(c))
+    foreign = c.rlike("[^\\x00-\\x7f]")
+    return F.when(foreign, _apply(casemap, "string")(F.when(foreign, c))).otherwise(F.upper(c))
