@@ -43,6 +43,8 @@ NOISE = frozenset(
     "sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "comment comments commentlist replies reply disqus respond related recommended recommendations widget widgets pagination pager toolbar skip copyright disclaimer".split()
 )
+#: A class that begins so tells of a page's state: a wrapper with "no-sidebar" is no sidebar.
+STATES = frozenset("no has with without is".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
@@ -67,10 +69,11 @@ def _noise(tag: str, attributes: dict) -> bool:
         return True
     if (attributes.get("role") or "").lower() in NOISE_ROLES:
         return True
-    marks = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
+    marks = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".split()
     if tag in ("html", "body", "main", "article") and (attributes.get("class") or "").lower() not in ("comment", "comments", "reply"):
         return False
-    return any(m.lower() in NOISE for m in NAME.findall(marks))
+    names = [[m.lower() for m in NAME.findall(mark)] for mark in marks]
+    return any(m in NOISE for own in names if own and own[0] not in STATES for m in own)
 
 
 class Builder(HTMLParser):
@@ -214,12 +217,12 @@ def importance(node: Node, path: int, known: dict[int, tuple[float, bool]], out:
     return out[id(node)]
 
 
-def _articles(root: Node) -> list[Node]:
-    """The topmost article elements outside noise, within main where there is one."""
+def _articles(root: Node, within_noise: bool = False) -> list[Node]:
+    """The topmost article elements outside noise, or else the main element; where noise wraps all of them, those in it."""
     found, mains, stack = [], [], [(root, False)]
     while stack:
         node, inside = stack.pop()
-        if node.noise and node is not root:
+        if node.noise and (not within_noise or node.tag in NEVER or node.tag == "article"):
             continue
         if node.tag == "article" and not inside:
             found.append(node)
@@ -227,7 +230,7 @@ def _articles(root: Node) -> list[Node]:
         elif node.tag == "main":
             mains.append(node)
         stack += [(c, inside) for c in reversed(node.children) if not isinstance(c, str)]
-    return found or mains[:1]
+    return found or mains[:1] or ([] if within_noise else _articles(root, True))
 
 
 def main_text(html: str | None, known: dict[int, tuple[float, bool]]) -> str:

@@ -170,11 +170,19 @@ def links(distinct: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, c
     return out.distinct()
 
 
-def near_duplicates(documents: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links reach, of every document."""
+def blocks_for(fingerprints: int) -> int:
+    """Blocks whose keys have so many bits that few fingerprints meet by chance: 21, 27 or 32 bits, for 15, 35 or 70 rows each."""
+    return BLOCKS if fingerprints <= 1 << 24 else BLOCKS + 1 if fingerprints <= 1 << 30 else BLOCKS + 2
+
+
+def near_duplicates(documents: DataFrame, blocks: int | None = None, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id that links reach, of every document.
+
+    Any number of ``blocks`` over ``distance`` finds the same links; by default it follows the number of fingerprints.
+    """
     marked = common.staged(fingerprints(documents), "fingerprints")
     distinct = common.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct, blocks, distance, crowd))
+    roots = components(links(distinct, blocks or blocks_for(distinct.count()), distance, crowd))
     rooted = common.staged(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "root", F.coalesce("root", "fp").alias("of")), "rooted")
     named = common.staged(rooted.groupBy("of").agg(F.min("first").alias("component_id")), "named")
     known = common.staged(rooted.select("fp", "of").join(named, "of").select("fp", "component_id"), "known")

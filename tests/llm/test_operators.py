@@ -199,6 +199,7 @@ PAGES = {
     '<div id="content"><p>Hello <i>wor</i>ld</p></div><div id="sidebar">x</div><script>var a="<p>no</p>"</script>': "Hello world",
     "": "", None: "", "<p>unclosed <b>bold": "unclosed bold", "plain &lt;x&gt; text": "plain <x> text", "<style>p{}</style><nav>menu</nav>": "",
     "<article><p>a</p><article class='comment'><p>c</p></article></article>": "a", "<article><p>a\n\t b<br>c</article>": "a b c", "<table><tr><td>1<td>2<tr><td>3</table>": "1 2 3",
+    "<div class='page no-sidebar'><p>kept</p></div><div class='left-sidebar'>x</div>": "kept", "<div class='banner'><article><p>in</p></article></div><div id='comments'><p>c</p></div>": "in",
 }
 
 
@@ -451,8 +452,8 @@ def test_near_duplicates(spark, documents, odd):
         assert rows(got.withColumn("fp", F.lower(F.lpad(F.hex("fp"), 16, "0"))), "doc_id", "fp", "component_id") == sorted(((i, f"{f:016x}", c) for (i, f), c in zip(some, brute_components(some), strict=True)), key=repr)
 
 
-@pytest.mark.parametrize("crowd", [3, 10_000])
-def test_crowded_keys_lose_no_link(spark, crowd):
+@pytest.mark.parametrize(("crowd", "blocks"), [(3, 6), (10_000, 7), (10_000, 8), (10_000, 5)])
+def test_crowded_keys_lose_no_link(spark, crowd, blocks):
     r = random.Random(7)
     values = set()
     for center in [r.getrandbits(64) for _ in range(6)]:
@@ -463,7 +464,7 @@ def test_crowded_keys_lose_no_link(spark, crowd):
     pairs = [*enumerate(sorted(values))]
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for _, f in pairs], "fp long")
-    found = {x["node"]: x["root"] for x in simhash.components(simhash.links(df, crowd=crowd)).collect()}
+    found = {x["node"]: x["root"] for x in simhash.components(simhash.links(df, blocks, crowd=crowd)).collect()}
     want = brute_components(pairs)
     groups = lambda key: sorted(sorted(f for _, f in g) for g in _grouped(pairs, key).values())
     assert groups(lambda p: found.get(signed(p[1]), signed(p[1]))) == groups(lambda p: want[p[0]])
