@@ -87,3 +87,8 @@ def sent_us(sent_date: Column | str, internal_date: Column | str, sent_ts: Colum
             parts.append(F.unix_micros(stamp))
         parts.append(_text_us(c(text)))
     return F.coalesce(*parts, F.lit(EARLIEST))
+
+
+def normalize_sent_date(sent_date: Column | str, internal_date: Column | str | None = None) -> Column:
+    """``sent_us`` as a timestamp, for display; the earliest instant is that of year 1."""
+    return F.timestamp_micros(sent_us(sent_date, F.lit(None).cast("string") if internal_date is None else internal_date))

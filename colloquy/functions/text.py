@@ -114,3 +114,16 @@ def unicode_casemap_key(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     foreign = c.rlike("[^\\x00-\\x7f]")
     return F.when(foreign, _apply(casemap, "string")(F.when(foreign, c))).otherwise(F.upper(c))
+
+
+def normalize_subject(c: Column | str) -> Column:
+    """The base subject."""
+    return base_subject(c)["base"]
+
+
+def is_reply_or_forward_subject(c: Column | str) -> Column:
+    """Whether a leader, a trailer or a wrapper marks a reply or forward; a list's tag alone doesn't."""
+    return base_subject(c)["is_reply"]
+
+
+is_reply_subject = is_reply_or_forward_subject

@@ -12,6 +12,7 @@ from colloquy.functions.dates import sent_us
 from colloquy.functions.headers import effective_references, email_fingerprint, extract_reference_ids, normalize_message_id
 from colloquy.functions.text import base_subject, decode_header_text, unicode_casemap_key
 from colloquy.operators import threading as T
+from colloquy.operators.forest import preorder
 from colloquy.operators.render import serialize_thread_data, serialize_thread_response
 from colloquy.plans import mailboxes as M
 from colloquy.session import ship
@@ -242,6 +243,11 @@ def thread_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.thread_messages(M.chain(spark, sf_dir)).select("input_pos", "depth")
 
 
+@query(f"WITH {CHAIN} SELECT pos AS input_pos, (turn + 1)::INTEGER AS preorder, (count(*) OVER (PARTITION BY conv_id) - turn)::INTEGER AS branch FROM m")
+def thread_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preorder(T.thread_messages(M.chain(spark, sf_dir))).select("input_pos", "preorder", "branch")
+
+
 @query(f"WITH {CHAIN} SELECT min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_messages FROM m GROUP BY conv_id")
 def cyclic_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = T.thread_messages(M.circular(spark, sf_dir))
