@@ -7,12 +7,15 @@ call of a grouped map, and the texts of a mailbox are joined by their root's ord
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.operators.fold import fold_groups
 from colloquy.operators.graph import CycleError, climb
-from colloquy.schema import as_mailbox
+from colloquy.session import ship
 from colloquy.staging import staged
 
 #: Largest identifier of a response.
@@ -74,6 +77,28 @@ def _render_group(rows: list[tuple]) -> list[tuple]:
     return [(rows[0][0], rows[0][5], render_thread([(r[2], r[3], r[4], r[6]) for r in rows]))]
 
 
+def _asked(facts: DataFrame, identifier: Callable | None, include: Callable | None) -> DataFrame:
+    """_b, _pos, _chosen and _number of messages, by functions of their rows; an identifier is asked for only where a message is included."""
+    ship(facts.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for row in batch.to_pylist():
+                box, pos, chosen, number = (row.pop(n) for n in ("_b", "_pos", "_chosen", "_number"))
+                if include:
+                    chosen = bool(include(row))
+                if identifier:
+                    number = identifier(row) if chosen else None
+                    if isinstance(number, bool) or not isinstance(number, int) or not 0 < number <= MOST:
+                        number = None  # refused below, where the message is included
+                for column, value in zip(out, (box, pos, chosen, number), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["_b", "_pos", "_chosen", "_number"])
+
+    return facts.mapInArrow(run, "_b string, _pos long, _chosen boolean, _number long")
+
+
 def _checked(selected: DataFrame) -> None:
     bad = selected.where("selected and (number is null or number <= 0 or number > 4294967295)").select("number").first()
     if bad:
@@ -96,22 +121,29 @@ def check_forest(forest: DataFrame) -> None:
         raise ThreadSerializationError("a node's parent isn't in the forest, or a node appears in multiple positions")
 
 
-def serialize_thread_data(forest: DataFrame, messages: DataFrame, *, identifier: str | Column = "sequence_number", include: Column | None = None, validate: bool = False) -> DataFrame:
+def serialize_thread_data(forest: DataFrame, messages: DataFrame, *, identifier: str | Column | Callable = "sequence_number", include: Column | Callable | None = None, validate: bool = False) -> DataFrame:
     """(mailbox_id, data): the THREAD data of every mailbox in ``forest``.
 
-    ``identifier`` is "sequence_number", "uid" or a column over ``messages``; ``include`` a condition over them, null counts as
-    false. Both may use payload columns. The condition applies to the finished forest, so excluded ancestors still connect.
+    ``identifier`` is "sequence_number", "uid", a column over ``messages`` or a function of a message's row as a dict; ``include`` a
+    condition over them or such a function, null counts as false. Both may use payload columns. They apply to the
+    finished forest, so excluded ancestors still connect. Columns stay in the JVM; functions don't.
     """
-    if not isinstance(identifier, Column) and identifier not in ("sequence_number", "uid"):
-        raise ValueError("identifier must be 'sequence_number', 'uid', or a column")
-    if include is not None and not isinstance(include, Column):
-        raise TypeError("include must be a column")
-    if not isinstance(identifier, Column) and identifier not in messages.columns:
-        messages = as_mailbox(messages)
-    number = identifier if isinstance(identifier, Column) else F.col(identifier)
+    ask_id = identifier if not isinstance(identifier, (str, Column)) else None
+    ask_in = include if include is not None and not isinstance(include, Column) else None
+    if ask_id is not None and not callable(ask_id) or isinstance(identifier, str) and identifier not in ("sequence_number", "uid"):
+        raise ValueError("identifier must be 'sequence_number', 'uid', a column or a function")
+    if ask_in is not None and not callable(ask_in):
+        raise TypeError("include must be a column or a function")
+    if isinstance(identifier, str) and identifier not in messages.columns:
+        messages = messages.withColumn(identifier, F.lit(None).cast("long"))
+    number = F.lit(None).cast("long") if ask_id else identifier if isinstance(identifier, Column) else F.col(identifier)
     box = F.coalesce("mailbox_id", F.lit("")) if "mailbox_id" in messages.columns else F.lit("")
-    chosen = F.coalesce(include, F.lit(False)) if include is not None else F.lit(True)
-    facts = messages.select(box.alias("_b"), F.col("input_pos").cast("long").alias("_pos"), chosen.alias("_chosen"), number.cast("long").alias("_number"))
+    chosen = F.lit(True) if include is None or ask_in else F.coalesce(include, F.lit(False))
+    facts = {"_b": box, "_pos": F.col("input_pos").cast("long"), "_chosen": chosen, "_number": number.cast("long")}
+    if ask_id or ask_in:
+        facts = _asked(messages.withColumns(facts), ask_id, ask_in)
+    else:
+        facts = messages.select(*[c.alias(n) for n, c in facts.items()])
     selected = forest.select(F.coalesce("mailbox_id", F.lit("")).alias("box"), "node_id", "parent_id", "root_id", "sibling_ord", "root_ord", "input_pos").join(facts, (F.col("box") == F.col("_b")) & (F.col("input_pos") == F.col("_pos")), "left")
     selected = selected.withColumn("selected", F.coalesce("_chosen", F.lit(False))).withColumn("number", F.when(F.col("selected"), F.col("_number"))).drop("_b", "_pos", "_chosen", "_number", "input_pos")
     selected = staged(selected, "selected")
@@ -125,7 +157,7 @@ def serialize_thread_data(forest: DataFrame, messages: DataFrame, *, identifier:
     return boxes.join(lists, "box", "left").select(F.nullif("box", F.lit("")).alias("mailbox_id"), F.when(F.col("lists").isNull(), F.lit("THREAD")).otherwise(F.concat(F.lit("THREAD "), F.col("lists"))).alias("data"))
 
 
-def serialize_thread_response(forest: DataFrame, messages: DataFrame, *, identifier: str | Column = "sequence_number", include: Column | None = None, line_ending: str = "\r\n", validate: bool = False) -> DataFrame:
+def serialize_thread_response(forest: DataFrame, messages: DataFrame, *, identifier: str | Column | Callable = "sequence_number", include: Column | Callable | None = None, line_ending: str = "\r\n", validate: bool = False) -> DataFrame:
     """(mailbox_id, response): the data framed as an untagged response."""
     if line_ending not in LINE_ENDINGS:
         raise ValueError("line_ending must be '' or CRLF")

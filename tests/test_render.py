@@ -50,6 +50,11 @@ def test_projection_and_frame(spark):
     assert response_text(f, m, identifier="uid", include=F.lit(False)) == "* THREAD\r\n"
     assert response_text(f, m, identifier="uid", include=F.lit(None).cast("boolean")) == "* THREAD\r\n"
     assert response_text(f.limit(0), m, identifier="uid") == "* THREAD\r\n"
+    assert response_text(f, m, identifier=lambda r: 10 // (r["uid"] - 2) + 100, include=lambda r: r["uid"] != 2, line_ending="") == "* THREAD (90 (110)(103))"
+    assert response_text(f, m, identifier=lambda r: r["uid"], include=F.col("uid") > 2, line_ending="") == "* THREAD ((3)(5))"
+    for bad in ("1", True, 1.5, None):
+        with pytest.raises(ThreadSerializationError):
+            response_text(f, m, identifier=lambda r, bad=bad: bad)
     assert response_text(f, m, identifier=F.col("uid") * 10, line_ending="", validate=True) == "* THREAD (10 20 (30)(50))"
 
 
@@ -57,8 +62,10 @@ def test_errors(spark):
     f, m = forest(spark, [(1, "a", None), (2, "b", "a")]), messages(spark, [1, 2])
     with pytest.raises(ValueError):
         serialize_thread_data(f, m, identifier="number")
+    with pytest.raises(ValueError):
+        serialize_thread_data(f, m, identifier=3)
     with pytest.raises(TypeError):
-        serialize_thread_data(f, m, identifier="uid", include=lambda x: True)
+        serialize_thread_data(f, m, identifier="uid", include=3)
     with pytest.raises(ValueError):
         serialize_thread_response(f, m, identifier="uid", line_ending="\n")
     for bad in ([1, None], [1, 0], [1, -1], [1, 1], [1, 1 << 32]):
