@@ -535,3 +535,10 @@ def test_registry_matches_its_sql(spark):
         names = [d[0] for d in cursor.description]
         assert sorted(names) == sorted(df.columns)
         assert rows(df, *sorted(names)) == sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in cursor.fetchall()), key=repr), name
+
+
+def test_longest_matches_have_their_places(spark):
+    docs = spark.createDataFrame([(1, "x a b c d e y a b c"), (2, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "A b c d, e"), (8, "q")], "item_id long, text string")
+    got = [(r["doc_id"], r["start"], r["end"], r["n_words"], list(r["items"])) for r in decontam.longest_matches(docs, items, window=3).collect()]
+    assert sorted(got) == [(1, 1, 6, 5, [7]), (1, 7, 10, 3, [7])]
