@@ -16,6 +16,7 @@ _HOMES = {
     "colloquy.operators.threading": ("SequenceNumberError", "thread_messages"),
     "colloquy.schema": ("MESSAGE_SCHEMA", "NODE_SCHEMA", "as_mailbox"),
     "colloquy.session": ("session", "ship"),
+    "colloquy.staging": ("clear_scratch",),
     "colloquy.sources.mail": ("parse_emails", "read_eml", "read_mbox", "thread_email_messages"),
     "colloquy.streaming.incremental": ("IncrementalThreads",),
 }

@@ -21,7 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, which ``clear_scratch`` knows of."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_colloquy_scratch", []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this context has staged, once no table that was made from it is needed any more; returns how many places."""
+    context = spark.sparkContext
+    paths = context.__dict__.get("_colloquy_scratch", [])
+    for name in paths:
+        place = context._jvm.org.apache.hadoop.fs.Path(name)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    n = len(paths)
+    paths.clear()
+    return n
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
