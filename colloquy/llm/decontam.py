@@ -10,7 +10,7 @@ The benchmark is sent to the tasks in blocks of at most ``BLOCK_WORDS`` words; w
 pass over the rows, with what earlier ones found carried along. Memory is bounded by a block and a shard.
 
 Defined results: null and empty texts have no words, no hits and no items; items without words
-match nothing; an item given twice counts once; repeated documents are judged each.
+match nothing; an item given twice counts once; one without an id hits words but isn't named; repeated documents are judged each.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ class Block:
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
                 found.setdefault(tuple(ids[i : i + window]), set()).add(item_id)
         self.windows = sorted(found)
-        self.items = [sorted(found[w]) for w in self.windows]
+        self.items = [sorted(i for i in found[w] if i is not None) for w in self.windows]
         self.sizes = np.array([len(w) for w in self.windows], np.int64)
         self.shortest = int(self.sizes.min()) if len(self.sizes) else 0
         self.bits = max(1, len(self.vocabulary).bit_length() + 1)

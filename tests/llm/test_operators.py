@@ -542,3 +542,5 @@ def test_longest_matches_have_their_places(spark):
     items = spark.createDataFrame([(7, "A b c d, e"), (8, "q")], "item_id long, text string")
     got = [(r["doc_id"], r["start"], r["end"], r["n_words"], list(r["items"])) for r in decontam.longest_matches(docs, items, window=3).collect()]
     assert sorted(got) == [(1, 1, 6, 5, [7]), (1, 7, 10, 3, [7])]
+    nameless = spark.createDataFrame([(None, "a b c"), (7, "a b c")], "item_id long, text string")
+    assert [list(r["items"]) for r in decontam.contamination(docs, nameless, window=3).orderBy("doc_id").collect()] == [[7], []]
