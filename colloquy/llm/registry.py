@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_rules": rules.SQL, "op9_decontamination": decontam.SQL}
+    return {"op3_warc": warc.SQL, "op6_rules": rules.SQL, "op9_decontamination": decontam.SQL}

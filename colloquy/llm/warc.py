@@ -201,3 +201,23 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "archives")
     write_archives(common.read(spark, sf_dir, "pages"), path)
     return read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+def _sql() -> str:
+    """The contract of op3 for DuckDB."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    digit = lambda k, shift: f"substr('{alphabet}', 1 + ((('0x' || substr(x, {1 + 5 * k}, 5))::INTEGER >> {shift}) & 31), 1)"
+    digest = " || ".join(digit(k, shift) for k in range(8) for shift in (15, 10, 5, 0))
+    return rf"""
+WITH d AS (SELECT page_id, coalesce(url, '') AS u, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS x FROM pages),
+k AS (SELECT x, n, max(page_id) AS keep FROM d WHERE n >= {LEAST_BYTES} GROUP BY x, n),
+p AS (SELECT d.*, keep, regexp_replace(lower(regexp_extract(u, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', '') AS host, regexp_extract(u, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path,
+  regexp_extract(u, '^[^?#]*\?([^#]*)', 1) AS q FROM d LEFT JOIN k USING (x, n))
+SELECT page_id, n AS payload_bytes, {digest} AS payload_digest, CASE WHEN page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to,
+  lower(array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END) AS url_key,
+  strftime(make_timestamp(({EPOCH} + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM p
+"""
+
+
+SQL = _sql()

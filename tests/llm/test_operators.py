@@ -527,7 +527,7 @@ def test_registry_matches_its_sql(spark):
 
     assert {n.split("_")[0] for n in registry.queries()} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         df = registry.queries()[name](spark, SF)
