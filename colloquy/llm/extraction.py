@@ -11,7 +11,7 @@ tables in it are never removed for their importance, as one article may be on ma
 sidebars, notices, adverts, forms, scripts, styles and reader comments are also known by tag, role and class.
 
 Defined results: null and empty html, and pages without main text, give an empty text; urls without a host
-share one; markup that doesn't parse is read as far as it goes; repeated rows count as pages each.
+share one; every page is read to its end, with unknown declarations as comments; repeated rows count as pages each.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ STATES = frozenset("no has with without is".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
+#: References of so many digits that Python refuses them as numbers.
+LONG_REFERENCE = re.compile(r"&#[0-9]{1000,}")
 #: A node counts once so many pages of its host have it; branches below the importance go; the share of a branch's own node in it.
 LEAST_PAGES, IMPORTANCE, OWN = 5, 0.4, 0.5
 #: Nodes of all hosts up to which the hosts' table is sent to all tasks; beyond, the join is left to the planner.
@@ -120,14 +122,17 @@ class Builder(HTMLParser):
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """A CDATA section, or else a comment up to the next ``>`` as in browsers: the parser itself raises an error, or looks for an end far behind."""
+        if self.rawdata[i : i + 9].lower() == "<![cdata[":
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i, report)
+
 
 def tree(html: str | None) -> Node:
     builder = Builder()
-    try:
-        builder.feed(html or "")
-        builder.close()
-    except (AssertionError, ValueError, IndexError):
-        pass
+    builder.feed(LONG_REFERENCE.sub(lambda m: "&#" + (m[0][2:].lstrip("0")[:9] or "0"), html or ""))
+    builder.close()
     return builder.root
 
 

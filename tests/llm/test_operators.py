@@ -231,6 +231,22 @@ def test_long_and_deep_pages():
     assert len(extraction.main_text("<p>a " * 30_000, {})) == 59_999
 
 
+def test_pages_are_read_to_their_end():
+    for html, text in {
+        "<article><p>one a <![ b</p><p>two</p></article>": "one a two", "<p>one</p><![foo]><p>two</p>": "one two", "<p>one <![": "one <![", "<p>one</p><![1 2 > 3]]><p>two</p>": "one 3]]> two",
+        "<p>one</p><![endif]--><p>two</p><p>a[0]>three</p>": "one two a[0]>three", "<p>one</p><![if !IE]><p>two</p><![endif]><p>three": "one two three", "<p>one<![CDATA[ x > y ]]></p><p>two": "one two",
+        f"<p>one &#{'1' * 5000}; two</p><p>three &#{'0' * 5000}65;": "one \ufffd two three A", "<![CDATA": "<![CDATA",
+    }.items():
+        assert extraction.main_text(html, {}) == text, html[:60]
+    r = random.Random(6)
+    parts = ["<![", "<!", "<", ">", "]", "]]>", "cdata[", "if", "--", "<!--", "<p", "</p", "</", "<?", "&#", "&", "x;", "1", " ", '"', "'", "=", "a", "<script>", "</script", "<article>", "\n", "/", "<a href=", "<!doctype"]
+    for _ in range(20_000):
+        extraction.tree("".join(r.choices(parts, k=r.randint(1, 25))))
+    for _ in range(2_000):
+        html = "<article>" + "".join(f"<p>w{k}</p><![{''.join(r.choices('if [-!a1]', k=4))}>" for k in range(5)) + "<p>end</p></article>"
+        assert extraction.main_text(html, {}) == "w0 w1 w2 w3 w4 end"
+
+
 # 5. Languages
 
 
