@@ -1,8 +1,8 @@
 """Main text of pages by site style trees.
 
 All pages of a host are merged into one tree whose nodes are paths of tags and classes. For each node the
-pages that have it, the child sequences it shows (its presentation) and the texts it holds (its content) are counted,
-partly in each task and then by a shuffle of counts. A node has presentation importance by the entropy of its child
+pages that have it, the child sequences it shows (its presentation) and the texts it holds (its content) are counted
+by shuffles. Copies of a page within its host, known by a digest of all that is counted, count once. A node has presentation importance by the entropy of its child
 sequences, and content importance by how little its texts repeat across pages; both are 1 where too few pages have
 it. A page's branch is as important as its own node and its branches together, and branches of low importance go.
 
@@ -11,7 +11,7 @@ tables in it are never removed for their importance, as one article may be on ma
 sidebars, notices, adverts, forms, scripts, styles and reader comments are also known by tag, role and class.
 
 Defined results: null and empty html, and pages without main text, give an empty text; urls without a host
-share one; every page is read to its end, with unknown declarations as comments; repeated rows count as pages each.
+share one; every page is read to its end, with unknown declarations as comments; repeated rows count as one page.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,23 +175,25 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """host and nodes (path, importance) of each host's merged tree."""
 
     def make():
-        counts: Counter = Counter()
-
-        def flush():
-            rows = [(h, p, k, f, n) for (h, p, k, f), n in counts.items()]
-            counts.clear()
-            return list(map(list, zip(*rows, strict=True)))
+        seen: set[tuple[str, int]] = set()  # spares the shuffle the copies that a task meets
 
         def run(c):
+            rows = []
             for url, html in zip(*c, strict=True):
-                at = host(url)
-                counts.update((at, *x) for x in features(tree(html)))
-            return flush() if len(counts) > FLUSH else []
+                at, found = host(url), sorted(features(tree(html)))
+                page = xxhash.xxh3_64_intdigest(np.array(found, np.int64).tobytes()) - (1 << 63)
+                if (at, page) in seen:
+                    continue
+                if len(seen) > FLUSH:
+                    seen.clear()
+                seen.add((at, page))
+                rows += [(at, page, *x, n) for x, n in Counter(found).items()]
+            return list(map(list, zip(*rows, strict=True)))
 
-        return run, flush
+        return run
 
-    counted = common.map_rows(pages.select("url", "html"), make, "host string, path long, kind int, feature long, n long")
-    each = counted.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    counted = common.map_rows(pages.select("url", "html"), make, "host string, page long, path long, kind int, feature long, n long")
+    each = counted.distinct().groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0.0))
     n, nlog = F.col("n").cast("double"), F.col("n") * F.log("n")
     nodes = each.groupBy("host", "path").agg(

@@ -217,6 +217,15 @@ def test_site_style_tree_finds_what_repeats(spark):
     assert got == {i: f"own text {i}" for i in range(12)} | {99: "Welcome to our site alone All rights reserved"}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<div class='top'>Welcome</div><div class='body'>{}</div>"
+    few = [(i, "http://few/", page.format("copied" if i < 4 else "unique")) for i in range(5)]
+    many = [(100 + i, "http://many/", page.format(f"own text {min(i, 6)}")) for i in range(30)]
+    pages = spark.createDataFrame(few + many, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in extraction.extract(pages).collect()}
+    assert got == {i: "Welcome " + ("copied" if i < 4 else "unique") for i in range(5)} | {100 + i: f"own text {min(i, 6)}" for i in range(30)}
+
+
 def test_articles_of_the_pages(spark):
     pages = common.read(spark, SF, "pages")
     for r in extraction.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
