@@ -87,11 +87,18 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", "", False)
         self.open = [self.root]
+        self.counts: Counter = Counter()  # of open elements by tag: what isn't open needs no search, however deep the page
+
+    def _cut(self, i: int) -> None:
+        self.counts.subtract(n.tag for n in self.open[i:])
+        del self.open[i:]
 
     def _close(self, tags, holders) -> None:
+        if not any(self.counts[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i].tag in holders:
                 return
@@ -107,18 +114,21 @@ class Builder(HTMLParser):
         name = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted((attributes.get("class") or "").split())[:3])
         node = Node(tag, name, _noise(tag, attributes))
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < 400:
+        if tag not in VOID:
             self.open.append(node)
+            self.counts[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in ("svg", "script", "style") and self.open[-1].tag == tag:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
+        if not self.counts[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._cut(i)
                 return
 
     def handle_data(self, data):

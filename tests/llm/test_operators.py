@@ -240,6 +240,14 @@ def test_long_and_deep_pages():
     assert len(extraction.main_text("<p>a " * 30_000, {})) == 59_999
 
 
+def test_deep_pages_keep_their_elements():
+    deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    for n in (300, 500, 100_000):
+        assert extraction.main_text(f"<div><article>{deep(n, '<p>in</p>')}<p>tail</p></article><p>out</p></div>", {}) == "in tail"
+        assert extraction.main_text(f"<article>{deep(n, '<nav>menu</nav><p>in</p>')}</article>", {}) == "in"
+    assert extraction.main_text("<span>" * 50_000 + "</b><p>x</p>" * 3_000, {}) == " ".join("x" * 3_000)
+
+
 def test_pages_are_read_to_their_end():
     for html, text in {
         "<article><p>one a <![ b</p><p>two</p></article>": "one a two", "<p>one</p><![foo]><p>two</p>": "one two", "<p>one <![": "one <![", "<p>one</p><![1 2 > 3]]><p>two</p>": "one 3]]> two",
