@@ -235,6 +235,14 @@ def test_articles_of_the_pages(spark):
         assert r["text"] == " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", inner))).split())
 
 
+def test_readme_tells_what_importance_changes(spark):
+    pages = common.read(spark, SF, "pages")
+    html = {r["page_id"]: r["html"] for r in pages.select("page_id", "html").collect()}
+    assert all(r["text"] == extraction.main_text(html[r["page_id"]], {}) for r in extraction.extract(pages).collect())
+    with open(__file__.rsplit("/tests/", 1)[0] + "/README.md") as readme:
+        assert "Importance changes none of the 2,500 pages" in readme.read()
+
+
 def test_long_and_deep_pages():
     assert extraction.main_text("<div>" * 5000 + "x", {}) == "x"
     assert len(extraction.main_text("<p>a " * 30_000, {})) == 59_999
