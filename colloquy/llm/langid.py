@@ -81,20 +81,22 @@ def predict(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tu
 def train(labelled: DataFrame, per_lang: int = TRAIN_PER_LANG, total: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Fit on ``labelled`` (doc_id, text, lang), from each language as many texts as the bounds allow.
 
-    The share of a language that is taken follows from its count: rows whose hash falls below it.
+    The share of a language that is taken follows from its count: rows whose hash falls below it, and that with
+    the smallest hash in any case. So every language is learned; beyond ``total`` / 2 languages the texts grow with them.
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
-    if not counts:
-        return fit(np.zeros((0, 1 << BITS), bool), [])
-    each = max(2, min(per_lang, total // len(counts)))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = common.staged(usable.groupBy("lang").agg(F.count("*").alias("_n"), F.min(place).alias("_first")), "languages")
+    n_langs = counts.count()
+    if not n_langs:
+        return fit(np.zeros((0, 1 << BITS), bool), [])
+    each = max(2, min(per_lang, total // n_langs))
 
     def make():
         return lambda c: [c[0], c[2], [np.packbits(ngrams(t)).tobytes() for t in c[1]]]
 
-    few = usable.where(place < share[F.col("lang")]).select("doc_id", "text", "lang")
+    taken = (place < F.lit(float(each)) / F.col("_n")) | (place == F.col("_first"))
+    few = usable.select("doc_id", "text", "lang").join(F.broadcast(counts), "lang").where(taken).select("doc_id", "text", "lang")
     got = common.map_rows(few, make, "doc_id long, lang string, bits binary").toArrow()
     order = np.lexsort((got["doc_id"].to_numpy(zero_copy_only=False), np.array(got["lang"].to_pylist(), dtype=object).astype(str)))
     bits, langs = got["bits"].to_pylist(), got["lang"].to_pylist()

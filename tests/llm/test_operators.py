@@ -287,6 +287,12 @@ def test_languages_odd(spark, odd):
         assert {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3, 9)} == {"und"}
 
 
+@pytest.mark.parametrize(("n_langs", "n", "per_lang"), [(520, 2, 300), (40, 100, 2)])
+def test_no_language_is_left_out(spark, n_langs, n, per_lang):
+    docs = spark.createDataFrame([(k * n_langs + i, f"w{i} v{i} u{k}", f"l{i}", "s") for i in range(n_langs) for k in range(n)], SCHEMA)
+    assert langid.train(docs, per_lang)[0] == sorted(f"l{i}" for i in range(n_langs))
+
+
 def test_kernel_is_that_of_shared_ngrams():
     a, b = langid.ngrams("abc"), langid.ngrams("abd")
     assert a.sum() == len(langid.ngrams("ABC").nonzero()[0]) and 0 < (a & b).sum() < a.sum()
