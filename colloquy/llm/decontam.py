@@ -4,7 +4,8 @@ Each task turns shards of its documents into word streams and builds a suffix ar
 of its suffixes, sorted by their first ``WINDOW`` words. Only suffixes that a benchmark text can match at all are
 kept, those that begin a run of benchmark words as long as the shortest window. Every test suffix is then
 binary-searched, all of them at once, which gives the range of equal training suffixes with their places.
-Matches that overlap in a document join into spans, the longest verbatim matches that a document shares with the benchmark.
+Matches that touch or overlap in a document join into spans: unions of hits over all items, so that a span may be longer than
+what any one item holds.
 
 The benchmark is sent to the tasks in blocks of at most ``BLOCK_WORDS`` words; with several blocks each is one more
 pass over the rows, with what earlier ones found carried along. Memory is bounded by a block and a shard.
@@ -201,7 +202,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Where benchmark items occur: doc_id, start and end of each maximal run of hit words, by start."""
+    """doc_id, start and end of each maximal run of hit words, and the items of the whole document: unions of the hits of all items, not one item's match."""
     return contamination(documents, benchmark, window).select("doc_id", F.explode("spans").alias("span"), "items").select("doc_id", "span.start", "span.end", (F.col("span.end") - F.col("span.start")).alias("n_words"), "items")
 
 

@@ -591,3 +591,10 @@ def test_longest_matches_have_their_places(spark):
     assert sorted(got) == [(1, 1, 6, 5, [7]), (1, 7, 10, 3, [7])]
     nameless = spark.createDataFrame([(None, "a b c"), (7, "a b c")], "item_id long, text string")
     assert [list(r["items"]) for r in decontam.contamination(docs, nameless, window=3).orderBy("doc_id").collect()] == [[7], []]
+
+
+def test_spans_are_unions_of_hits(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f x")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b c"), (8, "d e f")], "item_id long, text string")
+    assert [(r["start"], r["end"], list(r["items"])) for r in decontam.longest_matches(docs, items, window=3).collect()] == [(0, 6, [7, 8])]
+    assert all("unions of" in doc for doc in (decontam.__doc__, decontam.longest_matches.__doc__))
