@@ -1,17 +1,25 @@
 """Main text of pages by site style trees.
 
-All pages of a host are merged into one tree whose nodes are paths of tags and classes. For each node the
-pages that have it, the child sequences it shows (its presentation) and the texts it holds (its content) are counted
-by shuffles. Copies of a page within its host, known by a digest of all that is counted, count once. A node has presentation importance by the entropy of its child
-sequences, and content importance by how little its texts repeat across pages; both are 1 where too few pages have
-it. A page's branch is as important as its own node and its branches together, and branches of low importance go.
-
-Where a page marks its article (article or main elements), the text is taken from there, and plain paragraphs, headings, lists and
-tables in it are never removed for their importance, as one article may be on many pages. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are also known by tag, role and class.
+All pages of a host are merged into one tree whose nodes are paths of tags and classes (digits as 0). Each node is a
+presentation node by the sequences of blocks that it shows, and a content node by the text that its block holds with the
+inline elements in it. Shuffles count both over the host's distinct pages: pages of equal texts, whatever their menus and
+adverts, count once, so copies look like no template. Content is important by the entropy of its texts (1 where every page has its
+own, 0 where all have the same), presentation by the entropy of its sequences; a branch with several blocks is as
+important as the best of these and its presentation together.
+
+A branch, or a block's text, stays if its importance and its prior sum to 1 at least. Tags and the share of links
+give the priors (``PRIORS``): paragraphs need little importance, link lists and loose text next to paragraphs much. A page's article
+or main element is where the text is sought, unless the tree tells that it holds a template; bare paragraphs in
+it go only where their very text is on nearly all distinct pages of the host, and isn't all that the page says. Menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments that tag, role or class name as such always go.
+
+Nodes on too few pages of their host are important. As a node counts only if it is on a ``RARE``-th of them, the table of a
+host is bounded whatever its number of pages. All tables are sent to all tasks up to ``BROADCAST_NODES`` nodes; beyond,
+pages meet their host's table in chunks of a bounded number of pages, the table once a chunk.
 
 Defined results: null and empty html, and pages without main text, give an empty text; urls without a host
-share one; every page is read to its end, with unknown declarations as comments; repeated rows count as one page.
+share one; every page is read to its end, with unknown declarations as comments; repeated rows, and pages that tie in
+their main content, count as one page and each get their text.
 """
 
 from __future__ import annotations
@@ -52,12 +60,19 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 #: References of so many digits that Python refuses them as numbers.
 LONG_REFERENCE = re.compile(r"&#[0-9]{1000,}")
-#: A node counts once so many pages of its host have it; branches below the importance go; the share of a branch's own node in it.
-LEAST_PAGES, IMPORTANCE, OWN = 5, 0.4, 0.5
-#: Nodes of all hosts up to which the hosts' table is sent to all tasks; beyond, the join is left to the planner.
-BROADCAST_NODES = 200_000
+#: A node counts once so many distinct pages of its host, and a ``RARE``-th of them, have it.
+LEAST_PAGES, RARE = 5, 2000
+#: Text of an article goes where this share of at least ``TEMPLATE_PAGES`` distinct pages of the host have it at the same node.
+TEMPLATE, TEMPLATE_PAGES = 0.9, 10
+#: What a branch or text needs no importance for, by where it stands; see ``_prior``.
+PRIORS = {"article": 0.9, "block": 0.6, "links": 0.1, "loose": 0.1}
+#: The share of a branch's presentation in its importance; the share of linked characters from which a block is a link list.
+OWN, LINKED = 0.1, 0.67
+#: Nodes of all hosts up to which their tables are sent to all tasks; pages of a chunk beyond.
+BROADCAST_NODES, CHUNK = 200_000, 2_000
 PRESENT, SHAPE, CONTENT = 0, 1, 2
 FLUSH = 100_000
+NODES = "nodes array<struct<path: long, shown: float, text: float>>, template array<long>"
 
 
 class Node:
@@ -111,7 +126,7 @@ class Builder(HTMLParser):
         if tag in SIBLINGS:
             self._close(SIBLINGS[tag], HOLDERS - SIBLINGS[tag] - ({"tr"} if tag == "tr" else set()))
         attributes = dict(attrs)
-        name = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted((attributes.get("class") or "").split())[:3])
+        name = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted((attributes.get("class") or "").split()))
         node = Node(tag, name, _noise(tag, attributes))
         self.open[-1].children.append(node)
         if tag not in VOID:
@@ -159,30 +174,79 @@ def _path(above: int, name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass"), above)
 
 
-def features(root: Node) -> list[tuple[int, int, int]]:
-    """(path, kind, feature) of a page: which nodes it has, their child sequences and their own texts."""
-    out, present = [], set()
-    stack = [(root, 0)]
+class Block:
+    """A block element of a page: the text of its strings and inline elements in order, and the blocks in it."""
+
+    __slots__ = ("blocks", "linked", "node", "parts", "path")
+
+    def __init__(self, node: Node, path: int):
+        self.node, self.path, self.linked = node, path, 0
+        self.parts: list[str | Block] = []
+        self.blocks: list[Block] = []
+
+    def text(self) -> str:
+        return SPACE.sub(" ", "".join(x if isinstance(x, str) else " " for x in self.parts)).strip()
+
+
+def blocks_of(root: Node) -> list[Block]:
+    """The blocks of a page outside scripts and styles, each after the one that holds it; inline elements dissolve in their block."""
+    top = Block(root, 0)
+    out = [top]
+    stack: list = [(root, top, False)]
     while stack:
-        node, path = stack.pop()
-        present.add(path)
-        shape, own = [], []
-        for child in node.children:
-            if isinstance(child, str):
-                own.append(child)
-            elif child.tag not in ("script", "style"):
-                if child.tag not in INLINE:
-                    shape.append(child.name)
-                stack.append((child, _path(path, child.name)))
-        out.append((path, SHAPE, zlib.crc32(" ".join(dict.fromkeys(shape)).encode("utf-8", "surrogatepass"))))
-        if text := SPACE.sub(" ", "".join(own)).strip():
-            raw = text.encode("utf-8", "surrogatepass")
-            out.append((path, CONTENT, zlib.crc32(raw) << 31 ^ zlib.adler32(raw)))
-    return [*((p, PRESENT, 0) for p in present), *out]
+        node, block, linked = stack.pop()
+        if isinstance(node, str):
+            block.parts.append(node)
+            if linked:
+                block.linked += len(node)
+            continue
+        if node is not root and node.tag not in INLINE:
+            if node.tag in ("script", "style"):
+                continue
+            inner = Block(node, _path(block.path, node.name))
+            block.parts.append(inner)
+            block.blocks.append(inner)
+            block = inner
+            out.append(inner)
+        elif node.noise:  # inline, but hidden or marked: a block of its own, which goes
+            inner = Block(node, _path(block.path, node.name))
+            block.parts.append(inner)
+            block.blocks.append(inner)
+            out.append(inner)
+            continue
+        linked = linked or node.tag == "a"
+        for child in reversed(node.children):
+            stack.append((child, block, linked))
+    return out
+
+
+def _text_key(text: str) -> int:
+    raw = text.encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw) << 31 ^ zlib.adler32(raw)
+
+
+def features(root: Node) -> tuple[int, list[tuple[int, int, int]]]:
+    """A page's key (of its texts outside noise), and (path, kind, feature) of its nodes."""
+    blocks = blocks_of(root)
+    found = [(path, PRESENT, 0) for path in {b.path for b in blocks}]
+    quiet: set[int] = set()
+    plain = []
+    for b in blocks:
+        if b.node.noise or id(b) in quiet:
+            quiet.update(map(id, [b, *b.blocks]))
+        if b.blocks:
+            shape = " ".join(dict.fromkeys(x.node.name for x in b.blocks))
+            found.append((b.path, SHAPE, zlib.crc32(shape.encode("utf-8", "surrogatepass"))))
+        if text := b.text():
+            key = _text_key(text)
+            found.append((b.path, CONTENT, key))
+            if id(b) not in quiet:
+                plain.append(key)
+    return xxhash.xxh3_64_intdigest(np.array(plain, np.int64).tobytes()) - (1 << 63), found
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host and nodes (path, importance) of each host's merged tree."""
+    """host, its nodes (path, importance shown by its sequences, importance of its texts) and its template texts."""
 
     def make():
         seen: set[tuple[str, int]] = set()  # spares the shuffle the copies that a task meets
@@ -190,8 +254,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
         def run(c):
             rows = []
             for url, html in zip(*c, strict=True):
-                at, found = host(url), sorted(features(tree(html)))
-                page = xxhash.xxh3_64_intdigest(np.array(found, np.int64).tobytes()) - (1 << 63)
+                at = host(url)
+                page, found = features(tree(html))
                 if (at, page) in seen:
                     continue
                 if len(seen) > FLUSH:
@@ -203,37 +267,51 @@ def style_tree(pages: DataFrame) -> DataFrame:
         return run
 
     counted = common.map_rows(pages.select("url", "html"), make, "host string, page long, path long, kind int, feature long, n long")
-    each = counted.distinct().groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
-    of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0.0))
-    n, nlog = F.col("n").cast("double"), F.col("n") * F.log("n")
+    # Of pages with one key each feature counts as often as in the page that has it most. Partial sums come first, so a
+    # text of millions of pages is one row a task in the second shuffle.
+    once = counted.groupBy("host", "page", "path", "kind", "feature").agg(F.max("n").alias("n"))
+    each = once.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+    each = common.staged(each, "features")
+    kind = F.col("kind")
+    log = lambda k: F.sum(F.when(kind == k, F.col("n") * F.log("n")).otherwise(0.0))
+    count = lambda k: F.sum(F.when(kind == k, F.col("n")).otherwise(0)).cast("double")
     nodes = each.groupBy("host", "path").agg(
-        of(PRESENT, n).alias("m"), of(SHAPE, n).alias("sn"), of(SHAPE, nlog).alias("sl"), of(CONTENT, n).alias("tn"), of(CONTENT, nlog).alias("tl")
+        F.max(F.when(kind == PRESENT, F.col("pages"))).alias("on"), count(SHAPE).alias("sn"), log(SHAPE).alias("sl"), count(CONTENT).alias("tn"), log(CONTENT).alias("tl")
     )
-    log_m = F.log("m")
-    presentation = (F.log("sn") - F.col("sl") / F.col("sn")) / log_m
-    content = 1 - F.col("tl") / F.col("tn") / log_m
-    value = F.when(F.col("m") < LEAST_PAGES, 1.0).when(F.col("tn") > 0, content).otherwise(presentation)
-    nodes = nodes.select("host", F.struct("path", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("importance"), (F.col("tn") > 0).alias("text")).alias("node"))
-    return common.staged(nodes.groupBy("host").agg(F.collect_list("node").alias("nodes")), "styles")
+    total = each.where((F.col("path") == 0) & (kind == PRESENT)).select(F.col("host").alias("_h"), F.col("pages").alias("m"))
+    often = F.col("on") >= F.greatest(F.lit(float(LEAST_PAGES)), F.col("m") / RARE)
+    of = lambda n, logs: F.coalesce(F.when(often & (F.col(n) > 1), 1 - F.col(logs) / F.col(n) / F.log(n)), F.lit(1.0)).cast("float")
+    rated = nodes.join(total, nodes["host"] == total["_h"]).select("host", "path", of("sn", "sl").alias("shown"), of("tn", "tl").alias("text"))
+    rated = rated.where("shown < 1 or text < 1").groupBy("host").agg(F.collect_list(F.struct("path", "shown", "text")).alias("nodes"))
+    wide = each.where((kind == CONTENT) & (F.col("pages") >= TEMPLATE * TEMPLATE_PAGES)).join(total.where(F.col("m") >= TEMPLATE_PAGES), F.col("host") == F.col("_h"))
+    wide = wide.where(F.col("pages") >= TEMPLATE * F.col("m")).groupBy(F.col("host").alias("_w")).agg(F.collect_set("feature").alias("template"))
+    # A template text is on nearly all pages, so there are at most as many as a page has blocks.
+    tables = rated.join(wide, rated["host"] == wide["_w"], "full").select(F.coalesce("host", "_w").alias("host"), "nodes", "template")
+    return common.staged(tables, "styles")
 
 
-def importance(node: Node, path: int, known: dict[int, tuple[float, bool]], out: dict[int, float]) -> float:
-    """Importance of a page's branch: its node's own, and that of its branches weighed by their text. Fills ``out`` by id of the node."""
-    order, stack = [], [(node, path)]
-    while stack:
-        at, p = stack.pop()
-        order.append((at, p))
-        stack += [(c, _path(p, c.name)) for c in at.children if not isinstance(c, str)]
-    for at, p in reversed(order):
-        own, has_text = known.get(p, (1.0, True))
-        below = [out[id(c)] for c in at.children if not isinstance(c, str) and c.tag not in VOID]
-        if not below:
-            out[id(at)] = own
-        elif has_text:
-            out[id(at)] = max(own, *below)
-        else:
-            out[id(at)] = OWN * own + (1 - OWN) * sum(below) / len(below) if max(below) < IMPORTANCE else max(below)
-    return out[id(node)]
+class Site:
+    """What a task knows of a host: importances by path, and template texts."""
+
+    def __init__(self, nodes=(), template=()):
+        self.known = {n["path"]: (n["shown"], n["text"]) for n in nodes or ()}
+        self.template = frozenset(template or ())
+
+
+NOTHING = Site()
+
+
+def importance(blocks: list[Block], site: Site) -> dict[int, float]:
+    """Importance of every branch by id of its block: that of its best text or block and, where it has several, its presentation."""
+    out: dict[int, float] = {}
+    for b in reversed(blocks):
+        shown, text = site.known.get(b.path, (1.0, 1.0))
+        parts = [out[id(x)] for x in b.blocks if x.node.tag not in VOID]
+        if any(isinstance(x, str) and not x.isspace() for x in b.parts):
+            parts.append(text)
+        best = max(parts, default=shown)
+        out[id(b)] = (1 - OWN) * best + OWN * shown if len(parts) > 1 else best
+    return out
 
 
 def _articles(root: Node, within_noise: bool = False) -> list[Node]:
@@ -252,71 +330,128 @@ def _articles(root: Node, within_noise: bool = False) -> list[Node]:
     return found or mains[:1] or ([] if within_noise else _articles(root, True))
 
 
-def main_text(html: str | None, known: dict[int, tuple[float, bool]]) -> str:
-    """The main text of a whole page; ``known``: its host's nodes."""
+def _prior(block: Block, marked: bool, paragraphs: bool, text: str | None) -> float:
+    """Prior of a branch (``text`` None) or of a block's own text."""
+    bare = block.node.tag in TEXTUAL and "." not in block.node.name
+    if marked:
+        return 1.0 if bare else PRIORS["article"]
+    if text is not None and block.linked >= LINKED * len(text):
+        return PRIORS["links"]
+    if text is not None and paragraphs and block.node.tag not in TEXTUAL:
+        return PRIORS["loose"]
+    return PRIORS["block"]
+
+
+def main_text(html: str | None, site: Site = NOTHING) -> str:
+    """The main text of a whole page; ``site``: what is known of its host."""
     root = tree(html)
-    marked = _articles(root)
-    scores: dict[int, float] = {}
-    if known:
-        importance(root, 0, known, scores)
+    return _main_text(root, site, site.template) or (_main_text(root, site, frozenset()) if site.template else "")
+
+
+def _main_text(root: Node, site: Site, template: frozenset) -> str:
+    blocks = blocks_of(root)
+    scores = importance(blocks, site) if site.known else {}
+    by_node = {id(b.node): b for b in blocks}
+    tops = [by_node[id(n)] for n in _articles(root) if id(n) in by_node]
+    tops = [b for b in tops if scores.get(id(b), 1.0) + PRIORS["article"] >= 1]
+    marked = bool(tops)
+    paragraphs = any(b.node.tag == "p" for b in blocks)
     out: list[str] = []
-    for top in marked or [root]:
-        # (node, whether inside a header of the article)
+    for top in tops or blocks[:1]:
+        # (block, whether inside a header of the article)
         stack: list = [(top, False)]
         while stack:
-            item = stack.pop()
+            item, header = stack.pop()
             if isinstance(item, str):
                 out.append(item)
                 continue
-            node, header = item
-            if node is not top:
-                header = header or (node.tag == "header")
-                bare = node.tag in TEXTUAL and "." not in node.name
+            block, node = item, item.node
+            if block is not top:
+                header = header or node.tag == "header"
                 if (node.noise and not (marked and node.tag in HEADINGS)) or (node.tag == "header" and not marked):
                     continue
-                if scores.get(id(node), 1.0) < IMPORTANCE and not (marked and bare):
+                if scores and scores[id(block)] + _prior(block, marked, paragraphs, None) < 1:
                     continue
-            if node.tag not in INLINE:
-                stack.append(" ")
-                out.append(" ")
-            for child in reversed(node.children):
-                if isinstance(child, str):
-                    if not header or node.tag in HEADINGS or node.tag in INLINE:
-                        stack.append(child)
-                else:
-                    stack.append((child, header and child.tag not in HEADINGS))
+            heading = node.tag in HEADINGS
+            said = not header or heading
+            if said and (scores or template) and (text := block.text()):
+                known = site.known.get(block.path, (1.0, 1.0))[1]
+                said = known + _prior(block, marked, paragraphs, text) >= 1 and (not template or _text_key(text) not in template)
+            stack.append((" ", header))
+            out.append(" ")
+            for part in reversed(block.parts):
+                if not isinstance(part, str):
+                    stack.append((part, header and not heading))
+                elif said:
+                    stack.append((part, header))
     return SPACE.sub(" ", "".join(out)).strip()
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url and text of every page."""
-    styles = style_tree(pages)
-    styles = styles.select(F.col("host").alias("_host"), "nodes")
-    if (styles.agg(F.sum(F.size("nodes"))).first()[0] or 0) <= BROADCAST_NODES:
-        styles = F.broadcast(styles)
+PAGES = "page_id long, url string, text string, n_chars long"
+
+
+def _by_broadcast(pages: DataFrame, styles: DataFrame) -> DataFrame:
+    """The tables of all hosts, of at most ``BROADCAST_NODES`` nodes in all, are sent to all tasks."""
+    tables = {r["host"]: Site(r["nodes"], r["template"]) for r in styles.collect()}
+    shared = pages.sparkSession.sparkContext.broadcast({h: (s.known, s.template) for h, s in tables.items()})
+
+    def make():
+        sites: dict[str, Site] = {}
+        for h, (known, template) in shared.value.items():
+            sites[h] = Site()
+            sites[h].known, sites[h].template = known, template
+
+        def run(c):
+            texts = [main_text(html, sites.get(host(url), NOTHING)) for url, html in zip(c[1], c[2], strict=True)]
+            return [c[0], c[1], texts, list(map(len, texts))]
+
+        return run
+
+    return common.map_rows(pages, make, PAGES)
+
+
+def _by_chunks(pages: DataFrame, styles: DataFrame, chunk: int) -> DataFrame:
+    """Pages are dealt by host and, within a host, to chunks of about ``chunk`` pages; the host's table comes first in each."""
 
     def add_host():
         return lambda c: [*c, list(map(host, c[1]))]
 
-    hosted = common.map_rows(pages.select("page_id", "url", "html"), add_host, "page_id long, url string, html string, _host string")
-    joined = hosted.join(styles, "_host", "left").select("page_id", "url", "html", "_host", "nodes")
+    hosted = common.map_rows(pages, add_host, "page_id long, url string, html string, host string")
+    counts = common.staged(hosted.groupBy("host").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "chunks")
+    dealt = hosted.join(counts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.col("chunks")).cast("int"))
+    nothing = lambda *names: [F.lit(None).cast(kind).alias(n) for n, kind in names]
+    kinds = [x.split(" ", 1) for x in NODES.split(", template ")[:1]] + [["template", "array<long>"]]
+    table = styles.join(counts, "host").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    table = table.select("host", "part", F.lit(0).alias("what"), *nothing(("page_id", "long"), ("url", "string"), ("html", "string")), "nodes", "template")
+    rows = dealt.select("host", "part", F.lit(1).alias("what"), "page_id", "url", "html", *nothing(*kinds))
+    laid = table.unionByName(rows).repartition("host", "part").sortWithinPartitions("host", "part", "what")
 
     def make():
-        last: dict = {}
+        now: dict = {"host": None, "site": NOTHING}
 
         def run(c):
-            texts = []
-            for html, at, nodes in zip(c[2], c[3], c[4], strict=True):
-                if at not in last:
-                    if len(last) > 200:
-                        last.clear()
-                    last[at] = {n["path"]: (n["importance"], n["text"]) for n in nodes or ()}
-                texts.append(main_text(html, last[at]))
-            return [c[0], c[1], texts, list(map(len, texts))]
+            out: tuple[list, list, list] = ([], [], [])
+            for at, what, page_id, url, html, nodes, template in zip(c[0], *c[2:], strict=True):
+                if what == 0:
+                    now["host"], now["site"] = at, Site(nodes, template)
+                    continue
+                if at != now["host"]:
+                    now["host"], now["site"] = at, NOTHING
+                for column, value in zip(out, (page_id, url, main_text(html, now["site"])), strict=True):
+                    column.append(value)
+            return [*out, list(map(len, out[2]))]
 
         return run
 
-    return common.map_rows(joined, make, "page_id long, url string, text string, n_chars long")
+    return common.map_rows(laid, make, PAGES)
+
+
+def extract(pages: DataFrame, broadcast_nodes: int = BROADCAST_NODES, chunk: int = CHUNK) -> DataFrame:
+    """page_id, url, text and n_chars of every page; both ways to send the tables give the same texts."""
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    styles = style_tree(pages)
+    size = styles.agg(F.sum(F.size(F.coalesce("nodes", F.array())) + F.size(F.coalesce("template", F.array())) + 1)).first()[0] or 0
+    return _by_broadcast(pages, styles) if size <= broadcast_nodes else _by_chunks(pages, styles, chunk)
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
