@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -57,7 +58,6 @@ NOISE = frozenset(
 STATES = frozenset("no has with without is".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-SPACE = re.compile(r"\s+")
 #: References of so many digits that Python refuses them as numbers.
 LONG_REFERENCE = re.compile(r"&#[0-9]{1000,}")
 #: A node counts once so many distinct pages of its host, and a ``RARE``-th of them, have it.
@@ -83,18 +83,21 @@ class Node:
         self.children: list[Node | str] = []
 
 
-def _noise(tag: str, attributes: dict) -> bool:
-    if tag in NEVER or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+@lru_cache(maxsize=65536)
+def _noise(tag: str, classes: str, id_: str, role: str) -> bool:
+    if tag in NEVER or role in NOISE_ROLES:
         return True
-    if (attributes.get("role") or "").lower() in NOISE_ROLES:
-        return True
-    marks = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".split()
-    if tag in ("html", "body", "main", "article") and (attributes.get("class") or "").lower() not in ("comment", "comments", "reply"):
+    if tag in ("html", "body", "main", "article") and classes.lower() not in ("comment", "comments", "reply"):
         return False
-    names = [[m.lower() for m in NAME.findall(mark)] for mark in marks]
+    names = [[m.lower() for m in NAME.findall(mark)] for mark in f"{classes} {id_}".split()]
     return any(m in NOISE for own in names if own and own[0] not in STATES for m in own)
 
 
+@lru_cache(maxsize=65536)
+def _name(tag: str, classes: str) -> str:
+    return tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted(classes.split()))
+
+
 class Builder(HTMLParser):
     """The tree of a page, with the ends that authors leave out."""
 
@@ -105,9 +108,13 @@ class Builder(HTMLParser):
         self.counts: Counter = Counter()  # of open elements by tag: what isn't open needs no search, however deep the page
 
     def _cut(self, i: int) -> None:
-        self.counts.subtract(n.tag for n in self.open[i:])
+        for node in self.open[i:]:
+            self.counts[node.tag] -= 1
         del self.open[i:]
 
+    def updatepos(self, i, j):
+        return j  # nobody asks for lines
+
     def _close(self, tags, holders) -> None:
         if not any(self.counts[t] for t in tags):
             return
@@ -125,9 +132,13 @@ class Builder(HTMLParser):
             self._close(HEADINGS, HOLDERS)
         if tag in SIBLINGS:
             self._close(SIBLINGS[tag], HOLDERS - SIBLINGS[tag] - ({"tr"} if tag == "tr" else set()))
-        attributes = dict(attrs)
-        name = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted((attributes.get("class") or "").split()))
-        node = Node(tag, name, _noise(tag, attributes))
+        if attrs:
+            of = dict(attrs)
+            classes = of.get("class") or ""
+            hidden = "hidden" in of or of.get("aria-hidden") == "true"
+            node = Node(tag, _name(tag, classes), hidden or _noise(tag, classes, of.get("id") or "", (of.get("role") or "").lower()))
+        else:
+            node = Node(tag, tag, tag in NEVER)
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -185,7 +196,7 @@ class Block:
         self.blocks: list[Block] = []
 
     def text(self) -> str:
-        return SPACE.sub(" ", "".join(x if isinstance(x, str) else " " for x in self.parts)).strip()
+        return " ".join("".join([x if isinstance(x, str) else " " for x in self.parts]).split())
 
 
 def blocks_of(root: Node) -> list[Block]:
@@ -252,7 +263,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         seen: set[tuple[str, int]] = set()  # spares the shuffle the copies that a task meets
 
         def run(c):
-            rows = []
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for url, html in zip(*c, strict=True):
                 at = host(url)
                 page, found = features(tree(html))
@@ -261,16 +272,21 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 if len(seen) > FLUSH:
                     seen.clear()
                 seen.add((at, page))
-                rows += [(at, page, *x, n) for x, n in Counter(found).items()]
-            return list(map(list, zip(*rows, strict=True)))
+                counts = Counter(found)
+                for column, value in zip(out, (at, page, *map(list, zip(*sorted(counts), strict=True)), [counts[x] for x in sorted(counts)]), strict=True):
+                    column.append(value)
+            return list(out)
 
         return run
 
-    counted = common.map_rows(pages.select("url", "html"), make, "host string, page long, path long, kind int, feature long, n long")
-    # Of pages with one key each feature counts as often as in the page that has it most. Partial sums come first, so a
-    # text of millions of pages is one row a task in the second shuffle.
-    once = counted.groupBy("host", "page", "path", "kind", "feature").agg(F.max("n").alias("n"))
-    each = once.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+    kinds = "host string, page long, paths array<long>, kinds array<int>, features array<long>, ns array<long>"
+    counted = common.map_rows(pages.select("url", "html"), make, kinds)
+    # Of pages with one key one counts, the greatest. Partial sums come before the second shuffle, so a text of millions of
+    # pages is one row a task there.
+    once = counted.groupBy("host", "page").agg(F.max(F.struct("paths", "kinds", "features", "ns")).alias("p"))
+    apart = once.select("host", F.explode(F.arrays_zip(*[F.col(f"p.{c}").alias(c) for c in ("paths", "kinds", "features", "ns")])).alias("x"))
+    apart = apart.select("host", F.col("x.paths").alias("path"), F.col("x.kinds").alias("kind"), F.col("x.features").alias("feature"), F.col("x.ns").alias("n"))
+    each = apart.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
     each = common.staged(each, "features")
     kind = F.col("kind")
     log = lambda k: F.sum(F.when(kind == k, F.col("n") * F.log("n")).otherwise(0.0))
@@ -384,7 +400,7 @@ def _main_text(root: Node, site: Site, template: frozenset) -> str:
                     stack.append((part, header and not heading))
                 elif said:
                     stack.append((part, header))
-    return SPACE.sub(" ", "".join(out)).strip()
+    return " ".join("".join(out).split())
 
 
 PAGES = "page_id long, url string, text string, n_chars long"
