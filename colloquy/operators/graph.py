@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.staging import staged
+from colloquy.staging import staged, staged_with
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,36 +30,70 @@ class CycleError(ValueError):
     """Parents that lead back to a node itself, or to one that isn't in the table."""
 
 
-def climb(parents: DataFrame) -> DataFrame:
+def climb(parents: DataFrame, rows: int | None = None, strict: bool = True) -> DataFrame:
     """(node, root, depth) for every row of ``parents`` (node, parent; null for roots): an acyclic forest.
 
     Pointers double their reach in every round, so a chain of n nodes takes log n rounds; settled rows are
-    left out of later joins.
+    left out of later joins. As long as any node that isn't on or below a cycle is unsettled, each round settles some, so a
+    round that settles none ends the search. ``rows``: how many are not roots, about, where that is known. Where parents lead in a
+    circle, or to no row, that is an error, or without ``strict`` those nodes are left out.
     """
-    now = staged(parents.select("node", F.coalesce("parent", "node").alias("at"), F.col("parent").isNotNull().cast("int").alias("depth"), F.col("parent").isNull().alias("settled")), "climb")
-    rounds = now.count().bit_length() + 1
-    while True:
+    now = parents.select(
+        "node", F.coalesce("parent", "node").alias("at"), F.col("parent").isNotNull().cast("int").alias("depth"), F.col("parent").isNull().alias("settled")
+    )
+    left = F.count(F.when(~F.col("settled"), 1))
+    if rows is None:
+        now, got = staged_with(now, "climb", left=left)
+        waiting = got["left"]
+    else:
+        waiting = rows
+    before = None
+    while waiting and waiting != before:
+        before = waiting
         step = now.select(F.col("node").alias("_n"), F.col("at").alias("_at"), F.col("depth").alias("_d"), F.col("settled").alias("_s"))
         moving = now.where("not settled").join(step, F.col("at") == F.col("_n"))
         # At a node that is settled and has depth 0 is a root; one that is settled lower knows its root.
         moved = moving.select("node", F.col("_at").alias("at"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_s").alias("settled"))
         now = staged(now.where("settled").unionByName(moved), "climb")
-        rounds -= 1
-        if rounds < 0:
-            raise CycleError("the parents of some nodes form a cycle")
-        if not now.where("not settled").limit(1).count():
-            return now.select("node", F.col("at").alias("root"), "depth")
+        waiting = now.where("not settled").count()
+    if waiting and strict:
+        raise CycleError("the parents of some nodes form a cycle")
+    return now.where("settled").select("node", F.col("at").alias("root"), "depth")
+
+
+def circular_core(edges: DataFrame, most_rounds: int = 6) -> tuple[DataFrame, int]:
+    """The edges (a, b) that may be on a cycle, and their number (0: there is no cycle).
+
+    A node without edges into it is on no cycle, nor is any that hangs below it by nodes with one edge in each; pointer doubling finds
+    those at once. They go with the edges out of them, from both directions in turn, until nothing
+    more goes. Every edge on a cycle stays.
+    """
+    now, got = staged_with(edges.select("a", "b").distinct(), "core", n=F.count(F.lit(1)))
+    n, still = got["n"], 0
+    for k in range(2 * most_rounds):
+        if not n or still == 2:
+            break
+        above, below = ("a", "b") if k % 2 == 0 else ("b", "a")
+        only = now.groupBy(F.col(below).alias("node")).agg(F.min(above).alias("parent"), F.max(above).alias("_other"))
+        free = now.select(F.col(above).alias("node")).distinct().join(only, "node", "left_anti").select("node", F.lit(None).cast("string").alias("parent"))
+        hung = only.where("parent = _other").select("node", "parent").unionByName(free)
+        clear = climb(hung, strict=False).select(F.col("node").alias("_clear"))
+        before = n
+        now, got = staged_with(now.join(clear, F.col(above) == F.col("_clear"), "left_anti"), "core", n=F.count(F.lit(1)))
+        n = got["n"]
+        still = still + 1 if n == before else 0
+    return now, n
 
 
-def ranked(df: DataFrame, group: list[str], order: list, name: str, large: int = 2_000_000) -> DataFrame:
-    """``df`` with an ordinal from 1 within ``group``, ordered by ``order``.
+def ranked(df: DataFrame, group: list[str], order: list, name: str, large: int = 2_000_000, rows: int | None = None) -> DataFrame:
+    """``df`` with an ordinal from 1 within ``group``, ordered by ``order``; ``rows``: about how many there are, where that is known.
 
     A table beyond ``large`` rows is ordered over ranges, whose counts give each range its first ordinal,
     so no task has to hold a whole group.
     """
     from pyspark.sql import Window
 
-    if df.limit(large + 1).count() <= large:
+    if (df.limit(large + 1).count() if rows is None else rows) <= large:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     keys = [F.col(g) for g in group]
     parts = max(8, df.sparkSession.sparkContext.defaultParallelism)

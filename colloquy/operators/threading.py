@@ -3,29 +3,30 @@
 The plan: identifiers and reference chains (expressions) -> nodes and proposed edges (shuffles by identifier)
 -> one parent per node -> dummies spliced -> optional date order and subject groups -> ordinals.
 
-Parents. A message proposes each reference as the parent of the next, and the last one as its own. As long as
-the proposals of a component have no cycle, a node's parent is its own last reference, or else
-the earliest proposal, whatever the order of arrival: two aggregations. A potential certifies that: the highest place at
-which a node stands in any chain must grow along every proposed edge. Components that fail it, and only those, go
-through a kernel that follows the order of arrival.
+Parents. A message proposes each reference as the parent of the next, and the last one as its own. A node's
+parent is its own last reference, or else the earliest proposal, whatever the order of arrival, wherever no proposal into
+it is on a cycle of proposals: two aggregations. That there is no cycle at all is certified, in the same pass, by any of three values
+that grow along every edge: the highest place at which a node stands in any chain, the place at which it is first met, or
+that place from the end. Where none holds, edges that can't be on a cycle are peeled off (``graph.circular_core``). Only nodes with
+a proposal that remains, with the proposals into them, go through a kernel that follows the order of arrival.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.dates import EARLIEST, sent_us
 from colloquy.functions.headers import effective_references, normalize_message_id
 from colloquy.functions.text import base_subject, unicode_casemap_key
 from colloquy.operators.fold import fold_groups
-from colloquy.operators.graph import climb, components, ranked
-from colloquy.operators.kernel import LAST, PARENTS, link_component
-from colloquy.schema import NODE_SCHEMA, as_mailbox
+from colloquy.operators.graph import circular_core, climb, components, ranked
+from colloquy.operators.kernel import LAST, PARENTS, link_core
+from colloquy.schema import MESSAGE_SCHEMA, NODE_SCHEMA, as_mailbox
 from colloquy.session import ship
-from colloquy.staging import staged
+from colloquy.staging import staged, staged_with
 
 SEPARATOR = "\x00"
 
@@ -40,6 +41,8 @@ class Linked:
 
     messages: DataFrame
     nodes: DataFrame
+    #: Of the concrete nodes: how many there are, are roots, and hang below a dummy.
+    counts: dict
 
 
 def _box(name: str = "mailbox_id") -> Column:
@@ -47,9 +50,10 @@ def _box(name: str = "mailbox_id") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def identified(messages: DataFrame) -> DataFrame:
-    """Messages with ``id``, their normalized identifier, and ``refs``, their chain of ancestors."""
-    return as_mailbox(messages).withColumn("mailbox_id", F.nullif("mailbox_id", F.lit(""))).withColumn("id", normalize_message_id("message_id")).withColumn("refs", effective_references("references", "in_reply_to"))
+def identified(messages: DataFrame, strict: bool = True) -> DataFrame:
+    """Messages with ``id``, their normalized identifier, and ``refs``, their chain of ancestors; ``strict`` as for ``as_mailbox``."""
+    box = as_mailbox(messages, strict).withColumn("mailbox_id", F.nullif("mailbox_id", F.lit("")))
+    return box.withColumn("id", normalize_message_id("message_id")).withColumn("refs", effective_references("references", "in_reply_to"))
 
 
 def owners(messages: DataFrame) -> DataFrame:
@@ -91,69 +95,106 @@ def place_nodes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def proposals(messages: DataFrame, met: DataFrame) -> DataFrame:
     """Proposed edges (mailbox_id, parent, child, at_pos, at_idx, own): by a chain, or (own) by the child's message itself."""
-    by_chain = met.withColumn("before", F.lag("node_id").over(Window.partitionBy("mailbox_id", "input_pos").orderBy("idx"))).where("before is not null")
-    by_chain = by_chain.select("mailbox_id", F.col("before").alias("parent"), F.col("node_id").alias("child"), F.col("input_pos").alias("at_pos"), (F.col("idx") - 1).alias("at_idx"), F.lit(False).alias("own"))
-    last = met.groupBy("mailbox_id", "input_pos").agg(F.max_by("node_id", "idx").alias("parent"))
-    by_self = last.select("mailbox_id", "parent", _node_of(F.col("input_pos")).alias("child"), F.col("input_pos").alias("at_pos"), F.lit(LAST).alias("at_idx"), F.lit(True).alias("own")).where("parent <> child")
-    return by_chain.unionByName(by_self)
+    pairs = F.sort_array(F.collect_list(F.struct("idx", "node_id")))
+    chains = met.groupBy("mailbox_id", "input_pos").agg(F.transform(pairs, lambda s: s["node_id"]).alias("chain"))
+    last = F.size("chain")
+    edge = lambda above, i: F.struct(
+        above.alias("parent"),
+        F.coalesce(F.get("chain", i + 1), _node_of(F.col("input_pos"))).alias("child"),
+        F.when(i + 1 == last, F.lit(LAST)).otherwise(i + 1).alias("at_idx"),
+        (i + 1 == last).alias("own"),
+    )
+    edges = chains.select("mailbox_id", F.col("input_pos").alias("at_pos"), F.explode(F.transform("chain", edge)).alias("e"))
+    return edges.select("mailbox_id", "e.parent", "e.child", "at_pos", "e.at_idx", "e.own").where("parent <> child")
+
+
+def _key(node: str) -> Column:
+    """A node of any mailbox as one text."""
+    return F.concat(_box(), F.lit(SEPARATOR), F.col(node))
+
 
+#: Whether a value fails to grow along some edge: a flag of ``link``'s nodes each.
+CERTIFICATES = ("height_falls", "later_falls", "earlier_falls")
+#: Edges that may be on a cycle up to which one task takes them all; beyond, each of their components is a group.
+SMALL_CORE = 20_000
+COUNTS = ("all", "roots", "below_dummies")
 
-def link(messages: DataFrame) -> Linked:
+
+def _counts() -> dict[str, Column]:
+    real, parent = F.col("input_pos").isNotNull(), F.col("parent_id")
+    found = (real, real & parent.isNull(), real & parent.startswith("d:"))
+    return {name: F.count(F.when(c, 1)) for name, c in zip(COUNTS, found, strict=True)}
+
+
+def link(messages: DataFrame, strict: bool = True) -> Linked:
     """A parent for every node that has one."""
     ship(messages.sparkSession)
-    messages = staged(identified(messages), "messages")
+    absent = [f for f in MESSAGE_SCHEMA if f.name not in messages.columns]
+    messages = staged(identified(messages, strict), "messages")
+    # What isn't there is a constant again, so that the planner leaves out all that would be computed from it.
+    messages = messages.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent if f.name != "mailbox_id"})
     met, nodes = place_nodes(messages)
-    edges = staged(proposals(messages, met), "proposals")
-    heights = nodes.select(_box().alias("_b"), F.col("node_id").alias("_n"), "height")
-    rising = (
-        edges.join(heights.withColumnRenamed("height", "low"), (_box() == F.col("_b")) & (F.col("parent") == F.col("_n"))).drop("_b", "_n")
-        .join(heights.withColumnRenamed("height", "high"), (_box() == F.col("_b")) & (F.col("child") == F.col("_n"))).drop("_b", "_n")
-    )
+    edges = proposals(messages, met)
+    above = nodes.select(_box().alias("_b"), F.col("node_id").alias("_n"), F.col("height").alias("low"), F.col("created").alias("from"))
     chosen = F.min_by(F.struct("parent", "at_pos", "at_idx"), F.struct(~F.col("own"), "at_pos", "at_idx"))
-    falling = staged(rising.where("low >= high").select(_box().alias("_b"), "parent", "child"), "falling")
-    if not falling.limit(1).count():
-        parents = edges.groupBy("mailbox_id", F.col("child").alias("node_id")).agg(chosen.alias("c")).select("mailbox_id", "node_id", "c.parent", "c.at_pos", "c.at_idx")
-    else:
-        key = lambda n: F.concat(_box(), F.lit(SEPARATOR), F.col(n))
-        found = components(edges.select(key("parent").alias("a"), key("child").alias("b")))
-        doubtful = falling.select(F.concat("_b", F.lit(SEPARATOR), "child").alias("node")).distinct().join(found, "node").select("root").distinct()
-        marked = staged(found.join(doubtful, "root"), "doubtful")
-        in_doubt = edges.join(marked, key("child") == F.col("node"), "left_anti")
-        sure = in_doubt.groupBy("mailbox_id", F.col("child").alias("node_id")).agg(chosen.alias("c")).select("mailbox_id", "node_id", "c.parent", "c.at_pos", "c.at_idx")
-        chains = met.groupBy("mailbox_id", "input_pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "node_id"))), lambda s: s["node_id"]).alias("chain"))
-        owned = chains.withColumn("node_id", _node_of(F.col("input_pos")))
-        # A chain's nodes are all of one component; that of its first node names it, even where the message proposes nothing for itself.
-        owned = owned.withColumn("_first", F.concat(_box(), F.lit(SEPARATOR), F.element_at("chain", 1)))
-        owned = owned.join(marked, F.col("_first") == F.col("node")).select("mailbox_id", "input_pos", "node_id", "chain", "root")
-        walked = fold_groups(owned.select("root", "mailbox_id", "input_pos", "node_id", "chain"), ["root"], link_component, PARENTS)
-        parents = sure.unionByName(walked.select("mailbox_id", "node_id", F.col("parent_id").alias("parent"), "at_pos", "at_idx"))
-    right = parents.select(_box().alias("_b"), F.col("node_id").alias("_n"), "parent", "at_pos", "at_idx")
-    joined = nodes.join(right, (_box() == F.col("_b")) & (F.col("node_id") == F.col("_n")), "left")
-    return Linked(messages, staged(joined.select("mailbox_id", "node_id", "input_pos", "message_id", "created", F.col("parent").alias("parent_id"), F.struct("at_pos", "at_idx").alias("attached")), "linked"))
-
-
-def prune(nodes: DataFrame) -> DataFrame:
+    parents = edges.join(above, (_box() == F.col("_b")) & (F.col("parent") == F.col("_n"))).groupBy(_box().alias("_b"), F.col("child").alias("_n"))
+    parents = parents.agg(chosen.alias("c"), F.max("low").alias("low"), F.max("from").alias("last_from"), F.min("from").alias("first_from"))
+    linked = nodes.join(parents, (_box() == F.col("_b")) & (F.col("node_id") == F.col("_n")), "left").select(
+        "mailbox_id", "node_id", "input_pos", "message_id", "created", F.col("c.parent").alias("parent_id"), F.struct("c.at_pos", "c.at_idx").alias("attached"),
+        (F.col("low") >= F.col("height")).alias("height_falls"), (F.col("last_from") >= F.col("created")).alias("later_falls"), (F.col("first_from") <= F.col("created")).alias("earlier_falls"),
+    )
+    linked, got = staged_with(linked, "linked", **{c: F.count(F.when(F.col(c), 1)) for c in CERTIFICATES}, **_counts())
+    linked = linked.drop(*CERTIFICATES)
+    sure = Linked(messages, linked, {c: got[c] for c in COUNTS})
+    if not all(got[c] for c in CERTIFICATES):
+        return sure
+    edges = edges.withColumns({"above": _key("parent"), "below": _key("child")})
+    core, n = circular_core(edges.select(F.col("above").alias("a"), F.col("below").alias("b")))
+    if not n:
+        return sure
+    asked = core.select(F.col("b").alias("node")).distinct()
+    asked = asked.withColumn("root", F.lit("")) if n <= SMALL_CORE else staged(asked.join(components(core), "node"), "doubtful")
+    rows = edges.join(asked, F.col("below") == F.col("node"))
+    walked = fold_groups(rows.select("root", "at_pos", "at_idx", "above", "below", "own"), ["root"], link_core, PARENTS)
+    walked = asked.select(F.col("node").alias("_k")).join(walked, F.col("_k") == F.col("node"), "left").drop("node")
+    walked = walked.select("_k", F.substring_index("parent", SEPARATOR, -1).alias("_p"), F.struct("at_pos", "at_idx").alias("_a"))
+    walked_too = F.col("_k").isNotNull()
+    linked = linked.join(walked, _key("node_id") == F.col("_k"), "left").select(
+        "mailbox_id", "node_id", "input_pos", "message_id", "created",
+        F.when(walked_too, F.col("_p")).otherwise(F.col("parent_id")).alias("parent_id"), F.when(walked_too, F.col("_a")).otherwise(F.col("attached")).alias("attached"),
+    )
+    linked, got = staged_with(linked, "linked", **_counts())
+    return Linked(messages, linked, {c: got[c] for c in COUNTS})
+
+
+def prune(linked: Linked) -> DataFrame:
     """Dummies spliced: concrete nodes, and the dummies that stay as roots of two or more.
 
     Gives mailbox_id, node_id, input_pos, message_id, parent_id, created (of roots) and path, the places of
     attachment below the new parent, by which siblings are ordered.
     """
+    nodes = linked.nodes
     dummies = nodes.where("input_pos is null").select(_box().alias("_b"), F.col("node_id").alias("_n"), F.col("parent_id").alias("_p"), F.col("attached").alias("_a"), F.col("created").alias("_c"))
     now = nodes.where("input_pos is not null").select("mailbox_id", "node_id", "input_pos", "message_id", "created", F.col("parent_id").alias("up"), F.array("attached").alias("path"))
     # ``up`` climbs over dummies; at a dummy root it stays, with ``top`` set.
-    now = staged(now.withColumn("top", F.lit(False)), "prune")
-    while True:
-        waiting = F.col("up").startswith("d:") & ~F.col("top")
-        if not now.where(waiting).limit(1).count():
-            break
+    more = linked.counts["below_dummies"]
+    if not more:
+        return now.withColumnRenamed("up", "parent_id")
+    now = now.withColumn("top", F.lit(False))
+    waiting = F.col("up").startswith("d:") & ~F.col("top")
+    while more:
         up = now.where(waiting).join(dummies, (_box() == F.col("_b")) & (F.col("up") == F.col("_n")))
         up = up.select(
             "mailbox_id", "node_id", "input_pos", "message_id", F.when(F.col("_p").isNull(), F.col("_c")).otherwise(F.col("created")).alias("created"),
             F.coalesce("_p", "up").alias("up"), F.when(F.col("_p").isNull(), F.col("path")).otherwise(F.concat(F.array("_a"), "path")).alias("path"), F.col("_p").isNull().alias("top"),
         )
-        now = staged(now.where(~waiting | waiting.isNull()).unionByName(up), "prune")
+        now, got = staged_with(now.where(~waiting | waiting.isNull()).unionByName(up), "prune", more=F.count(F.when(waiting, 1)))
+        more = got["more"]
     tops = now.where("top").groupBy("mailbox_id", "up").agg(F.count("*").alias("n"), F.min("created").alias("created")).where("n > 1")
-    tops = staged(tops.select("mailbox_id", F.col("up").alias("node_id"), F.lit(None).cast("long").alias("input_pos"), F.substring("up", 3, 1 << 30).alias("message_id"), F.lit(None).cast("string").alias("parent_id"), "created"), "tops")
+    tops = tops.select(
+        "mailbox_id", F.col("up").alias("node_id"), F.lit(None).cast("long").alias("input_pos"),
+        F.substring("up", 3, 1 << 30).alias("message_id"), F.lit(None).cast("string").alias("parent_id"), "created",
+    )
     kept = tops.select(_box().alias("_b"), F.col("node_id").alias("_n"))
     real = now.join(kept, (_box() == F.col("_b")) & (F.col("up") == F.col("_n")) & F.col("top"), "left")
     parent = F.when(F.col("top"), F.col("_n")).otherwise(F.col("up"))
@@ -176,9 +217,11 @@ def _sort_keys(messages: DataFrame) -> DataFrame:
     return messages.select(_box().alias("_b"), F.col("input_pos").alias("_pos"), F.struct(date.alias("sent_us"), F.coalesce("sequence_number", "input_pos").alias("seq"), F.col("input_pos").alias("pos")).alias("key"))
 
 
-def _with_keys(forest: DataFrame, messages: DataFrame) -> DataFrame:
-    """``key`` of every node: its date, number and position; a dummy has that of its earliest child."""
+def _with_keys(forest: DataFrame, messages: DataFrame, dummies: bool = True) -> DataFrame:
+    """``key`` of every node: its date, number and position; a dummy, if there may be some, has that of its earliest child."""
     keyed = forest.join(_sort_keys(messages), (_box() == F.col("_b")) & (F.col("input_pos") == F.col("_pos")), "left").drop("_b", "_pos")
+    if not dummies:
+        return keyed
     first = keyed.where("parent_id is not null and input_pos is not null").groupBy(_box().alias("_b"), F.col("parent_id").alias("_n")).agg(F.min("key").alias("_k"))
     earliest = F.struct(F.lit(EARLIEST).alias("sent_us"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("pos"))
     out = keyed.join(first, (_box() == F.col("_b")) & (F.col("node_id") == F.col("_n")), "left")
@@ -242,35 +285,39 @@ def thread_messages(messages: DataFrame, *, group_by_subject: bool = False, sort
     """The conversation forest of every mailbox: a table of ``NODE_SCHEMA``.
 
     ``messages`` needs input_pos, unique within its mailbox; see ``MESSAGE_SCHEMA``. Rows without mailbox_id are one mailbox.
+    Types of dates and numbers are refused only where they are sorted by.
     """
-    linked = link(messages)
+    numbered = "sequence_number" in messages.columns
+    linked = link(messages, strict=sort_by_sent_date)
     messages = linked.messages
-    if sort_by_sent_date:
+    if sort_by_sent_date and numbered:
         check_sequence_numbers(messages)
-    forest = staged(prune(linked.nodes).withColumn("late", F.lit(-1)), "forest")
+    counts = {"roots": F.count(F.when(F.col("parent_id").isNull(), 1)), "all": F.count(F.lit(1))}
+    forest, n, dummies = prune(linked).withColumn("late", F.lit(-1)), linked.counts, linked.counts["below_dummies"]
+    if dummies:
+        forest, n = staged_with(forest, "forest", **counts)
     if sort_by_sent_date:
-        forest = staged(_with_keys(forest, messages), "keyed")
+        forest = staged(_with_keys(forest, messages, bool(dummies)), "keyed")
     order = F.struct("key") if sort_by_sent_date else F.struct("created")
     if group_by_subject:
-        roots = ranked(forest.where("parent_id is null").select("mailbox_id", "node_id", order.alias("o")), ["mailbox_id"], [F.col("o")], "place")
+        roots = forest.where("parent_id is null").select("mailbox_id", "node_id", order.alias("o"))
+        roots = ranked(roots, ["mailbox_id"], [F.col("o")], "place", rows=n["roots"])
         roots = roots.select(_box().alias("_b"), F.col("node_id").alias("_n"), "place")
         forest = forest.join(roots, (_box() == F.col("_b")) & (F.col("node_id") == F.col("_n")), "left").drop("_b", "_n")
         forest = staged(forest.withColumn("rank_key", F.struct("key") if sort_by_sent_date else F.struct("path")), "placed")
-        forest = staged(group_subjects(forest, messages), "grouped")
+        forest, n = staged_with(group_subjects(forest, messages), "grouped", **counts)
         if sort_by_sent_date:  # new dummies have no key yet
             forest = staged(_with_keys(forest.drop("key"), messages), "rekeyed")
     place = F.struct("key") if sort_by_sent_date else F.struct("place") if group_by_subject else F.struct("created")
     among = [F.col("key")] if sort_by_sent_date else [F.col("late"), F.col("path")]
-    roots = ranked(forest.where("parent_id is null").select("mailbox_id", "node_id", place.alias("o")), ["mailbox_id"], [F.col("o")], "root_ord")
-    children = ranked(forest.where("parent_id is not null"), ["mailbox_id", "parent_id"], among, "sibling_ord")
-    key = lambda n: F.concat(_box(), F.lit(SEPARATOR), F.col(n))
-    tops = climb(forest.select(key("node_id").alias("node"), key("parent_id").alias("parent")))
     columns = ["mailbox_id", "node_id", "input_pos", "message_id", "parent_id"]
-    placed = children.select(*columns, "sibling_ord").unionByName(
-        forest.where("parent_id is null").select(*columns).join(roots.select(_box().alias("_b"), F.col("node_id").alias("_n"), "root_ord"), (_box() == F.col("_b")) & (F.col("node_id") == F.col("_n"))).select(*columns, F.col("root_ord").alias("sibling_ord"))
-    )
-    out = placed.join(tops, key("node_id") == F.col("node"))
-    ords = roots.select(F.concat(_box(), F.lit(SEPARATOR), "node_id").alias("_root"), F.col("node_id").alias("root_id"), "root_ord")
+    roots = ranked(forest.where("parent_id is null").select(*columns, place.alias("o")), ["mailbox_id"], [F.col("o")], "root_ord", rows=n["roots"])
+    children = ranked(forest.where("parent_id is not null"), ["mailbox_id", "parent_id"], among, "sibling_ord", rows=n["all"] - n["roots"])
+    tops = climb(forest.select(_key("node_id").alias("node"), _key("parent_id").alias("parent")), n["all"] - n["roots"])
+    roots = roots.select(*columns, F.col("root_ord").alias("sibling_ord"))
+    placed = children.select(*columns, "sibling_ord").unionByName(roots)
+    out = placed.join(tops, _key("node_id") == F.col("node"))
+    ords = roots.select(_key("node_id").alias("_root"), F.col("node_id").alias("root_id"), F.col("sibling_ord").alias("root_ord"))
     out = out.join(ords, F.col("root") == F.col("_root"))
     return out.select(
         "mailbox_id", "node_id", "input_pos", "message_id", "parent_id", "root_id",

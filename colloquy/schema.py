@@ -43,17 +43,24 @@ NODE_SCHEMA = T.StructType(
 _TEXTS = ("in_reply_to", "references")
 
 
-def as_mailbox(df: DataFrame) -> DataFrame:
-    """The columns of ``MESSAGE_SCHEMA``, absent ones null; plain header strings become arrays of one."""
+def as_mailbox(df: DataFrame, strict: bool = True) -> DataFrame:
+    """The columns of ``MESSAGE_SCHEMA``, absent ones null; plain header strings become arrays of one.
+
+    Numbers and dates of other types are refused; without ``strict``, where nothing is sorted by them, they are null.
+    """
     there = {f.name: f.dataType for f in df.schema}
     if "input_pos" not in there:
         raise ValueError("a mailbox needs an explicit input_pos")
     for name in ("sequence_number", "uid"):
         if name in there and not isinstance(there[name], (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
-            raise ValueError(f"{name} must be an integer column, not {there[name].simpleString()}")
+            if strict:
+                raise ValueError(f"{name} must be an integer column, not {there[name].simpleString()}")
+            del there[name]
     for name in ("sent_date", "internal_date"):
         if name in there and not isinstance(there[name], (T.StringType, T.TimestampType, T.TimestampNTZType, T.DateType, T.NullType)):
-            raise TypeError(f"{name} must be text or a timestamp, not {there[name].simpleString()}")
+            if strict:
+                raise TypeError(f"{name} must be text or a timestamp, not {there[name].simpleString()}")
+            del there[name]
 
     def column(f: T.StructField) -> Column:
         if f.name not in there:

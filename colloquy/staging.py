@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,3 +44,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_with(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``staged``, and aggregates of the rows written, found on the way.
+
+    Rows of a stage that runs again may count twice: use them to tell none from some, or sizes roughly.
+    """
+    seen = Observation()
+    out = staged(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]), label)
+    return out, seen.get
