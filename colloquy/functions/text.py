@@ -18,52 +18,78 @@ from pyspark.sql import functions as F
 
 BASE = "base string, is_reply boolean"
 _GAPS = re.compile(r"[ \t\r\n]+")
-_BLOB = r"\[[^\[\]]*\] *"
-#: What may stand before a subject, longest reading first; a blob counts only with something after it.
-_LEAD = re.compile(rf"(?:{_BLOB})*(?:re|fwd?) *(?:{_BLOB})?:", re.I)
-_ONE_BLOB = re.compile(r"\[[^\[\]]*\] *+(?=[\s\S])")
-_TRAIL = re.compile(r"(?: |\(fwd\))+\Z", re.I)
+#: Fixed by RFC 5256: blobs, what may stand before a subject, and the trailer. A blob has no brackets in it.
+_BLOBS = re.compile(r"(?:\[[^\[\]]*\] *+)*+")
+_LEAD = re.compile(r"(?:re|fwd?) *(?:\[[^\[\]]*\] *)?:", re.I)
+_TRAILER = "(fwd)"
 #: A subject without these needs no more than its gaps closed.
 _PLAIN = r"(?i)=\?|\[|\(fwd\)|\b(re|fwd?)\b|:"
 
 
+@lru_cache(maxsize=1024)
+def _codec(charset: str | None) -> str:
+    """The name of a text encoding to read a part by: its own, or else UTF-8."""
+    name = charset or "ascii"
+    try:
+        b"x".decode(name, "replace")
+    except LookupError:
+        return "utf-8"
+    return name
+
+
+def _part_text(part: tuple) -> str:
+    raw, charset = part
+    return raw if isinstance(raw, str) else raw.decode(_codec(charset), "replace")
+
+
 def decode_text(text: str) -> str:
     """RFC 2047 words decoded; a malformed header stays as it is."""
     try:
-        parts = decode_header(text)
+        return "".join(map(_part_text, decode_header(text)))
     except HeaderParseError:
         return text
-    out = []
-    for part, charset in parts:
-        if isinstance(part, bytes):
-            try:
-                part = part.decode(charset or "ascii", "replace")
-            except LookupError:
-                part = part.decode("utf-8", "replace")
-        out.append(part)
-    return "".join(out)
+
+
+def _before_trailers(text: str) -> tuple[int, bool]:
+    """Where the trailers and spaces at the end begin, and whether a trailer is among them."""
+    end, found = len(text), False
+    while True:
+        if end and text[end - 1] == " ":
+            end -= 1
+        elif text[max(0, end - 5) : end].lower() == _TRAILER:
+            end, found = end - 5, True
+        else:
+            return end, found
+
+
+def _after_leaders(text: str) -> tuple[int, bool]:
+    """Where the subject begins behind leaders, spaces and blobs, and whether a leader is among them."""
+    at, found = 0, False
+    while True:
+        if text.startswith(" ", at):
+            at += 1
+            continue
+        run = _BLOBS.match(text, at).end()
+        if lead := _LEAD.match(text, run):
+            at, found = lead.end(), True
+        elif run == at:
+            return at, found
+        elif run < len(text):
+            at = run
+        else:  # nothing follows the last blob: it is the subject
+            return text.rindex("[", at, run), found
 
 
 def base_subject_of(subject: str | None) -> tuple[str, bool]:
-    """(base subject, whether it was a reply or forward) by the rules of RFC 5256."""
+    """(base subject, whether it was a reply or forward) by the rules of RFC 5256; linear but for wrappers in wrappers."""
     if not subject:
         return "", False
     text, reply = _GAPS.sub(" ", decode_text(subject)), False
     while True:
-        if tail := _TRAIL.search(text):
-            reply |= "(" in tail[0]
-            text = text[: tail.start()]
-        at = 0
-        while True:
-            if lead := _LEAD.match(text, at):
-                reply, at = True, lead.end()
-            elif text.startswith(" ", at):
-                at += 1
-            elif blob := _ONE_BLOB.match(text, at):
-                at = blob.end()
-            else:
-                break
-        text = text[at:]
+        end, trailed = _before_trailers(text)
+        text = text[:end]
+        start, led = _after_leaders(text)
+        text, reply = text[start:], reply or trailed or led
         if text[:5].casefold() != "[fwd:" or text[-1:] != "]":
             return text, reply
         text, reply = text[5:-1], True

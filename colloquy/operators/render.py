@@ -2,7 +2,8 @@
 
 A node that isn't selected (or is a dummy) gives its branches to its parent; at the top, two or more branches
 that lost their root stand together under none. A thread's text is a fold in order, so each thread is rendered by one
-call of a grouped map, and the texts of a mailbox are joined by their root's ordinal.
+call of a grouped map. ``thread_texts`` gives these texts as rows in order, which is what scales: a response joins
+all texts of a mailbox into one string, which one task has to hold.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators.fold import fold_groups
 from colloquy.operators.graph import CycleError, climb
+from colloquy.schema import NODE_SCHEMA
 from colloquy.session import ship
 from colloquy.staging import staged
 
@@ -111,7 +113,14 @@ def _checked(selected: DataFrame) -> None:
 
 
 def check_forest(forest: DataFrame) -> None:
-    """Raises where a table that wasn't made by ``thread_messages`` isn't a forest."""
+    """Raises where a table isn't a forest. Depths that grow by one from parent to child prove that it is, by one join; else it is walked."""
+    box = F.coalesce("mailbox_id", F.lit(""))
+    rows = forest.select(box.alias("box"), "node_id", "parent_id", "root_id", "depth")
+    above = rows.select(F.col("box").alias("_b"), F.col("node_id").alias("_n"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"))
+    met = rows.join(above, (F.col("box") == F.col("_b")) & (F.coalesce("parent_id", "node_id") == F.col("_n")), "left")
+    fits = (F.col("_root") == F.col("root_id")) & (F.col("depth") == F.col("_depth") + F.col("parent_id").isNotNull().cast("int"))
+    if not met.where(~F.coalesce(fits, F.lit(False))).limit(1).count():
+        return  # a node that is twice in the table is told by ``_checked``
     key = lambda n: F.concat(F.coalesce("mailbox_id", F.lit("")), F.lit("\x00"), F.col(n))
     try:
         reached = climb(forest.select(key("node_id").alias("node"), key("parent_id").alias("parent"))).count()
@@ -121,13 +130,18 @@ def check_forest(forest: DataFrame) -> None:
         raise ThreadSerializationError("a node's parent isn't in the forest, or a node appears in multiple positions")
 
 
-def serialize_thread_data(forest: DataFrame, messages: DataFrame, *, identifier: str | Column | Callable = "sequence_number", include: Column | Callable | None = None, validate: bool = False) -> DataFrame:
-    """(mailbox_id, data): the THREAD data of every mailbox in ``forest``.
+def _require_nodes(forest: DataFrame) -> None:
+    """Raises for what isn't a table of nodes."""
+    if not isinstance(forest, DataFrame) or not set(NODE_SCHEMA.names) <= set(forest.columns):
+        raise TypeError("a forest must be a table with the columns of NODE_SCHEMA")
+    for f in NODE_SCHEMA:
+        if type(forest.schema[f.name].dataType) is not type(f.dataType):
+            raise TypeError(f"{f.name} of a forest must be {f.dataType.simpleString()}")
 
-    ``identifier`` is "sequence_number", "uid", a column over ``messages`` or a function of a message's row as a dict; ``include`` a
-    condition over them or such a function, null counts as false. Both may use payload columns. They apply to the
-    finished forest, so excluded ancestors still connect. Columns stay in the JVM; functions don't.
-    """
+
+def _selected(forest: DataFrame, messages: DataFrame, identifier: str | Column | Callable, include: Column | Callable | None, validate: bool) -> DataFrame:
+    """The forest's nodes with ``number``, null where a node isn't selected."""
+    _require_nodes(forest)
     ask_id = identifier if not isinstance(identifier, (str, Column)) else None
     ask_in = include if include is not None and not isinstance(include, Column) else None
     if ask_id is not None and not callable(ask_id) or isinstance(identifier, str) and identifier not in ("sequence_number", "uid"):
@@ -144,20 +158,53 @@ def serialize_thread_data(forest: DataFrame, messages: DataFrame, *, identifier:
         facts = _asked(messages.withColumns(facts), ask_id, ask_in)
     else:
         facts = messages.select(*[c.alias(n) for n, c in facts.items()])
-    selected = forest.select(F.coalesce("mailbox_id", F.lit("")).alias("box"), "node_id", "parent_id", "root_id", "sibling_ord", "root_ord", "input_pos").join(facts, (F.col("box") == F.col("_b")) & (F.col("input_pos") == F.col("_pos")), "left")
-    selected = selected.withColumn("selected", F.coalesce("_chosen", F.lit(False))).withColumn("number", F.when(F.col("selected"), F.col("_number"))).drop("_b", "_pos", "_chosen", "_number", "input_pos")
-    selected = staged(selected, "selected")
     if validate:
         check_forest(forest)
-    _checked(selected)
+    nodes = forest.select(F.coalesce("mailbox_id", F.lit("")).alias("box"), "node_id", "parent_id", "root_id", "sibling_ord", "root_ord", "input_pos")
+    found = nodes.join(facts, (F.col("box") == F.col("_b")) & (F.col("input_pos") == F.col("_pos")), "left")
+    found = found.withColumn("selected", F.coalesce("_chosen", F.lit(False))).withColumn("number", F.when(F.col("selected"), F.col("_number")))
+    found = staged(found.drop("_b", "_pos", "_chosen", "_number", "input_pos"), "selected")
+    _checked(found)
+    return found
+
+
+def _texts(selected: DataFrame) -> DataFrame:
     threads = selected.select("box", "root_id", "node_id", "parent_id", "sibling_ord", "root_ord", "number")
-    texts = fold_groups(threads, ["box", "root_id"], _render_group, "box string, root_ord int, text string").where("text <> ''")
-    lists = texts.groupBy("box").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("root_ord", "text"))), lambda s: s["text"]), "").alias("lists"))
-    boxes = selected.select("box").distinct()
-    return boxes.join(lists, "box", "left").select(F.nullif("box", F.lit("")).alias("mailbox_id"), F.when(F.col("lists").isNull(), F.lit("THREAD")).otherwise(F.concat(F.lit("THREAD "), F.col("lists"))).alias("data"))
+    return fold_groups(threads, ["box", "root_id"], _render_group, "box string, root_ord int, text string").where("text <> ''")
+
+
+def thread_texts(
+    forest: DataFrame, messages: DataFrame, *, identifier: str | Column | Callable = "sequence_number", include: Column | Callable | None = None, validate: bool = True
+) -> DataFrame:
+    """(mailbox_id, root_ord, text): the list of every thread that has a selected message; a response is their texts by root_ord.
+
+    Arguments as for ``serialize_thread_data``. No task holds more than a thread.
+    """
+    found = _texts(_selected(forest, messages, identifier, include, validate))
+    return found.select(F.nullif("box", F.lit("")).alias("mailbox_id"), "root_ord", "text")
+
+
+def serialize_thread_data(
+    forest: DataFrame, messages: DataFrame, *, identifier: str | Column | Callable = "sequence_number", include: Column | Callable | None = None, validate: bool = True
+) -> DataFrame:
+    """(mailbox_id, data): the THREAD data of every mailbox in ``forest``, each one string.
+
+    ``identifier`` is "sequence_number", "uid", a column over ``messages`` or a function of a message's row as a dict; ``include`` a
+    condition over them or such a function, null counts as false. Both may use payload columns. They apply to the
+    finished forest, so excluded ancestors still connect. Columns stay in the JVM; functions don't. ``validate`` refuses
+    tables that are no forest.
+    """
+    selected = _selected(forest, messages, identifier, include, validate)
+    in_order = F.sort_array(F.collect_list(F.struct("root_ord", "text")))
+    lists = _texts(selected).groupBy("box").agg(F.array_join(F.transform(in_order, lambda s: s["text"]), "").alias("lists"))
+    data = F.when(F.col("lists").isNull(), F.lit("THREAD")).otherwise(F.concat(F.lit("THREAD "), F.col("lists")))
+    return selected.select("box").distinct().join(lists, "box", "left").select(F.nullif("box", F.lit("")).alias("mailbox_id"), data.alias("data"))
 
 
-def serialize_thread_response(forest: DataFrame, messages: DataFrame, *, identifier: str | Column | Callable = "sequence_number", include: Column | Callable | None = None, line_ending: str = "\r\n", validate: bool = False) -> DataFrame:
+def serialize_thread_response(
+    forest: DataFrame, messages: DataFrame, *, identifier: str | Column | Callable = "sequence_number", include: Column | Callable | None = None,
+    line_ending: str = "\r\n", validate: bool = True,
+) -> DataFrame:
     """(mailbox_id, response): the data framed as an untagged response."""
     if line_ending not in LINE_ENDINGS:
         raise ValueError("line_ending must be '' or CRLF")

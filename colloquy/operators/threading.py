@@ -212,14 +212,15 @@ def check_sequence_numbers(messages: DataFrame) -> None:
         raise SequenceNumberError(f"duplicate sequence number: {twice['n']}")
 
 
-def _sort_keys(messages: DataFrame) -> DataFrame:
+def sort_keys(messages: DataFrame) -> DataFrame:
+    """The key (sent_us, seq, pos) of every message: its date, its number or else position, its position."""
     date = sent_us("sent_date", "internal_date", F.col("sent_ts"), F.col("internal_ts"))
     return messages.select(_box().alias("_b"), F.col("input_pos").alias("_pos"), F.struct(date.alias("sent_us"), F.coalesce("sequence_number", "input_pos").alias("seq"), F.col("input_pos").alias("pos")).alias("key"))
 
 
 def _with_keys(forest: DataFrame, messages: DataFrame, dummies: bool = True) -> DataFrame:
     """``key`` of every node: its date, number and position; a dummy, if there may be some, has that of its earliest child."""
-    keyed = forest.join(_sort_keys(messages), (_box() == F.col("_b")) & (F.col("input_pos") == F.col("_pos")), "left").drop("_b", "_pos")
+    keyed = forest.join(sort_keys(messages), (_box() == F.col("_b")) & (F.col("input_pos") == F.col("_pos")), "left").drop("_b", "_pos")
     if not dummies:
         return keyed
     first = keyed.where("parent_id is not null and input_pos is not null").groupBy(_box().alias("_b"), F.col("parent_id").alias("_n")).agg(F.min("key").alias("_k"))

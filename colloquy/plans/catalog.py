@@ -12,8 +12,8 @@ from colloquy.functions.dates import sent_us
 from colloquy.functions.headers import effective_references, email_fingerprint, extract_reference_ids, normalize_message_id
 from colloquy.functions.text import base_subject, decode_header_text, unicode_casemap_key
 from colloquy.operators import threading as T
-from colloquy.operators.forest import preorder
-from colloquy.operators.render import serialize_thread_data, serialize_thread_response
+from colloquy.operators.forest import add_child, descendants, preorder
+from colloquy.operators.render import serialize_thread_data, serialize_thread_response, thread_texts
 from colloquy.plans import mailboxes as M
 from colloquy.session import ship
 from colloquy.sources.mail import parse_emails, thread_email_messages
@@ -86,9 +86,9 @@ def base_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUBJECTS = [
-    ("Re: Fwd: FW: Hello", "Hello", True), ("\tRe:\r\n\tHello   World  ", "Hello World", True), ("[project] Re: Topic", "Topic", True), ("Re [project]: Topic", "Topic", True),
-    ("[outer] [inner] Topic", "Topic", False), ("[outer] [inner]", "[inner]", False), ("[project]", "[project]", False), ("Topic (fwd)  (FWD) ", "Topic", True),
-    ("[Fwd: Re: [project] Topic (fwd)]", "Topic", True), ("=?utf-8?q?Re=3A_=EC=95=88=EB=85=95?=", "안녕", True), ("", "", False), ("Re", "Re", False), ("Regarding: x", "Regarding: x", False),
+    ("RE: fw: Fwd: Minutes", "Minutes", True), ("  FWD:\t\r\n  Budget    draft ", "Budget draft", True), ("[ops] Fw: Outage", "Outage", True), ("Fw [ops] : Outage", "Outage", True),
+    ("[a] [b] Outage", "Outage", False), ("[a] [b]", "[b]", False), ("[ops]", "[ops]", False), ("Outage(FWD) (fwd)", "Outage", True),
+    ("[FWD: [ops] re: Outage (fwd)]", "Outage", True), ("=?utf-8?b?UkU6IENhZsOp?=", "Café", True), ("   ", "", False), ("Fwd", "Fwd", False), ("Reply: x", "Reply: x", False), ("re:re:", "", True),
 ]
 
 
@@ -104,8 +104,8 @@ def subject_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = [
-    ("Prefix =?utf-8?b?7JWI64WV?= suffix", "Prefix 안녕 suffix"), ("=?us-ascii?q?Hello?=", "Hello"), ("=?x-unknown?b?SGVsbG8=?=", "Hello"), ("=?utf-8?b?A?=", "=?utf-8?b?A?="),
-    ("plain", "plain"), (None, None), ("=?iso-8859-1?q?caf=E9?= =?utf-8?q?_ol=C3=A9?=", "café olé"),
+    ("=?iso-8859-15?q?10_=A4?=", "10 €"), ("a =?utf-8?q?=C3=BC?= b", "a ü b"), ("=?koi8-r?b?8NLJ18XU?=", "Привет"), ("=?no-such?q?plain_words?=", "plain words"),
+    ("=?utf-8?b?QUJDR?=", "=?utf-8?b?QUJDR?="), ("=?utf-8?q?one?=  =?utf-8?q?two?=", "onetwo"), ("nothing", "nothing"), (None, None),
 ]
 
 
@@ -115,7 +115,7 @@ def decode_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("n", decode_header_text("header").alias("decoded"))
 
 
-_KEYS = [("Topic", "TOPIC"), ("Ｔｏｐｉｃ", "TOPIC"), ("Ǆ", "Dž"), ("ǅ", "Dž"), ("ǆ", "Dž"), ("ß", "ß"), ("ﬀ", "ff"), ("é", "É"), ("Α", "Α"), ("", "")]
+_KEYS = [("Mail", "MAIL"), ("ﬁn", "fiN"), ("ñ", "N\u0303"), ("ǉ", "Lj"), ("①", "1"), ("ſ", "S"), ("ω", "Ω"), ("½", "1\u20442"), ("", "")]
 
 
 @query(_values([(i, k) for i, (_, k) in enumerate(_KEYS)], "n, casemap"))
@@ -130,11 +130,10 @@ def sent_date_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DATES = [
-    ("31 Dec 2000 16:01:33 -0800", None, 978_307_293_000_000), ("Tue, 06 Jun 2017 07:39:33 +2600", None, 1_496_734_773_000_000), ("Tue, 06 Jun 2017 27:39:33 +0600", None, 1_496_685_600_000_000),
-    ("Tue, 06 Jun 2017", None, 1_496_707_200_000_000), (None, "17-Jul-1996 02:44:25 -0700", 837_596_665_000_000), ("not a date", "17-Jul-1996 02:44:25 -0700", 837_596_665_000_000),
-    ("unusable", "unusable", -62_135_596_800_000_000), ("Sat, 31 Dec 2016 23:59:60 +0000", None, 1_483_228_799_999_999), ("Tue, 06 Jun 2017 broken +0600", None, 1_496_685_600_000_000),
-    ("Tue, 06 Jun 2017 broken EST", None, 1_496_725_200_000_000), ("30 Feb 2026 12:00:00 +0000", "1 Jan 2026 00:00:00 +0000", 1_767_225_600_000_000),
-    ("31 Dec 9999 23:59:59 -2300", "1 Jan 2026 00:00:00 +0000", 1_767_225_600_000_000), ("  ", "1 Jan 2026 00:00:00 +0000", 1_767_225_600_000_000), ("01-Jan-2026 10:00:00", None, 1_767_299_160_000_000),
+    ("Mon, 9 May 2011 23:15:40 +0430", None, 1_304_966_740_000_000), ("9 May 2011 23:15:40 +9930", None, 1_304_982_940_000_000), ("9 May 2011 25:15:40 +0300", None, 1_304_888_400_000_000),
+    ("9 May 2011", None, 1_304_899_200_000_000), (None, "Sat, 22 Nov 2003 02:44:25 -0700", 1_069_494_265_000_000), ("??", "22-Nov-2003 02:44:25 -0700", 1_069_494_265_000_000), ("?", "?", -62_135_596_800_000_000),
+    ("Wed, 31 Dec 2008 23:59:60 GMT", None, 1_230_767_999_999_999), ("9 May 2011 noon MST", None, 1_304_924_400_000_000), ("31 Apr 2011 10:00:00 +0000", "2 Jan 2020 03:04:05 +0000", 1_577_934_245_000_000),
+    ("31 Dec 9999 23:00:00 -1200", "2 Jan 2020 03:04:05 +0000", 1_577_934_245_000_000), (" ", "2 Jan 2020 03:04:05 +0000", 1_577_934_245_000_000),
 ]
 
 
@@ -144,10 +143,43 @@ def sent_date_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("n", sent_us("sent_date", "internal_date").alias("sent_us"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id + 1 ELSE event_id END AS number FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id + 1 ELSE event_id END AS number, epoch_us(ts) AS sent_us FROM events")
 def effective_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = M.subjects(spark, sf_dir).withColumn("sequence_number", F.when(F.col("event_id") % 2 == 0, F.col("event_id") + 1))
-    return e.select("event_id", F.coalesce("sequence_number", "input_pos").alias("number"))
+    stamps = M.table(spark, sf_dir, "events").select(F.col("event_id").alias("_e"), F.col("ts").alias("sent_date"))
+    keys = T.sort_keys(T.identified(e.join(stamps, e["event_id"] == stamps["_e"])))
+    return keys.select(F.col("_pos").alias("event_id"), F.col("key.seq").alias("number"), F.col("key.sent_us").alias("sent_us"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 8 WHEN 0 THEN day - 10800000000 WHEN 1 THEN day WHEN 2 THEN day + 18000000000 WHEN 3 THEN us // 1000000 * 1000000 WHEN 4 THEN us // 60000000 * 60000000 + 59999999
+    WHEN 5 THEN day + 28800000000 WHEN 6 THEN us // 1000000 * 1000000 ELSE day END::BIGINT AS sent_us FROM (SELECT event_id, epoch_us(ts) AS us, epoch_us(date_trunc('day', ts)::TIMESTAMP) AS day FROM events)"""
+)
+def odd_sent_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.odd_dates(spark, sf_dir).select("event_id", sent_us("sent_date", "internal_date").alias("sent_us"))
+
+
+@query("SELECT conv_id, turn, 'Fw: ' || text AS decoded FROM conversations")
+def decoded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.concat(F.lit("Fw: =?utf-8?B?"), F.regexp_replace(F.base64(F.col("text").cast("binary")), "[\\r\\n]", ""), F.lit("?="))
+    return M.table(spark, sf_dir, "conversations").select("conv_id", "turn", decode_header_text(word).alias("decoded"))
+
+
+#: Lower-case letters of Latin-1 by their base letter, with the marks that they are made of.
+_MARKED = {"A": ("àáâãäå", "\u0300\u0301\u0302\u0303\u0308\u030a"), "C": ("ç", "\u0327"), "E": ("èéêë", "\u0300\u0301\u0302\u0308"), "I": ("ìíîï", "\u0300\u0301\u0302\u0308"),
+           "N": ("ñ", "\u0303"), "O": ("òóôõö", "\u0300\u0301\u0302\u0303\u0308"), "U": ("ùúûü", "\u0300\u0301\u0302\u0308"), "Y": ("ýÿ", "\u0301\u0308")}
+_KEYED = {c: base + mark for base, (letters, marks) in _MARKED.items() for c, mark in zip(letters, marks, strict=True)}
+_LATIN = "a-zA-Z0-9 .,;:!?'ßæøþðÆØÞÐ" + "".join(_KEYED) + "".join(_KEYED).upper()
+_KEY_CASES = " ".join(f"WHEN lower(c) = '{c}' THEN '{key}'" for c, key in _KEYED.items())
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^{_LATIN.replace("'", "''")}]', '_', 'g') AS s FROM conversations)
+    SELECT conv_id, turn, array_to_string(list_transform(string_split(s, ''), lambda c: CASE {_KEY_CASES} WHEN c = 'ß' THEN c ELSE upper(c) END), '') AS casemap FROM t"""
+)
+def casemap_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = M.table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", unicode_casemap_key(F.regexp_replace("text", f"[^{_LATIN}]", "_")).alias("casemap"))
 
 
 # Lookups by identifier
@@ -254,6 +286,35 @@ def cyclic_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.groupBy("root_id").agg(F.min("input_pos").alias("first_pos"), F.max("input_pos").alias("last_pos"), F.count("input_pos").alias("n_messages")).drop("root_id")
 
 
+@query(f"WITH {CHAIN} SELECT pos AS input_pos, CASE WHEN turn > 0 THEN pos - 1 END AS parent_pos FROM m")
+def self_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parents(T.thread_messages(M.selfish(spark, sf_dir)))
+
+
+@query("SELECT a.event_id AS input_pos, CASE WHEN b.event_id > a.event_id THEN b.event_id END AS parent_pos FROM events a LEFT JOIN events b ON b.event_id = a.event_id + 1 - 2 * (a.event_id % 2)")
+def mutual_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parents(T.thread_messages(M.mutual(spark, sf_dir)))
+
+
+@query(f"WITH {CHAIN} SELECT pos AS input_pos, turn::INTEGER AS depth FROM m WHERE turn > 0 AND conv_id = (SELECT min(conv_id) FROM m)")
+def descendants_of_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = T.thread_messages(M.chain(spark, sf_dir))
+    top = forest.agg(F.min("input_pos")).first()[0]
+    return descendants(forest, f"n:{top}").select("input_pos", "depth")
+
+
+@query(
+    f"""WITH {CHAIN}, c AS (SELECT min(conv_id) AS a, (SELECT min(conv_id) FROM m WHERE conv_id > (SELECT min(conv_id) FROM m)) AS b FROM m)
+    SELECT pos AS input_pos, CASE WHEN turn > 0 THEN pos - 1 WHEN conv_id = b THEN a * 1000 + 1 END AS parent_pos, (turn + CASE WHEN conv_id = b THEN 1 ELSE 0 END)::INTEGER AS depth FROM m, c"""
+)
+def moved_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = T.thread_messages(M.chain(spark, sf_dir))
+    a, b = (r[0] for r in forest.where("root_ord <= 2 and parent_id is null").select("node_id").orderBy("root_ord").collect())
+    once = add_child(forest, a, b)
+    moved = add_child(once, once.where((F.col("root_id") == a) & (F.col("node_id") != b)).orderBy(F.desc("depth")).first()["node_id"], a)  # refused: it would close a cycle
+    return positions(moved.select("input_pos", F.col("parent_id").alias("parent_pos"), "depth"), "parent_pos")
+
+
 @query(f"WITH {GAPS} SELECT pos AS input_pos, lag(pos) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_pos FROM g")
 def pruned_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parents(T.thread_messages(M.gaps(spark, sf_dir)))
@@ -298,6 +359,18 @@ def subject_grouped_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.select(F.col("input_pos").alias("event_id"), parent.alias("parent_pos"))
 
 
+@query(
+    f"""WITH {FORKS}, r AS (SELECT f.pos, f.first, o_custkey % 100 AS topic FROM f JOIN orders ON o_orderkey = pos WHERE pos > first),
+    d AS (SELECT topic, first, count(*) AS n, min(pos) AS seen FROM r GROUP BY topic, first),
+    g AS (SELECT topic, count(*) AS n, arg_min(first, seen) FILTER (n > 1) AS owner FROM d GROUP BY topic)
+    SELECT pos AS input_pos, CASE WHEN owner IS NOT NULL THEN 'o' || owner || '@ex' WHEN g.n > 1 THEN 'new' END AS parent FROM r JOIN g USING (topic)"""
+)
+def subject_grouped_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = T.thread_messages(M.topics(spark, sf_dir), group_by_subject=True)
+    made = F.when(F.col("parent_id").startswith("m:"), "new").otherwise(F.substring("parent_id", 3, 1 << 20))
+    return forest.where("not is_dummy").select("input_pos", made.alias("parent"))
+
+
 # Responses
 
 
@@ -327,6 +400,58 @@ def imap_search_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serialize_thread_data(T.thread_messages(m), m, identifier=F.col("input_pos"), include=F.col("input_pos") % 3 != 0).select("data")
 
 
+@query(
+    """WITH r AS (SELECT o_custkey AS c, o_orderkey + 7 AS pos, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders),
+    b AS (SELECT c, (k - 1) // 3 AS j, min(pos) AS pos, list(pos ORDER BY pos)[2:] AS below FROM r WHERE k > 0 GROUP BY c, j),
+    t AS (SELECT c, j, pos || CASE len(below) WHEN 0 THEN '' WHEN 1 THEN ' ' || below[1] ELSE ' (' || below[1] || ')(' || below[2] || ')' END AS s FROM b),
+    m AS (SELECT c, count(*) AS n, any_value(s) AS one, string_agg('(' || s || ')', '' ORDER BY j) AS many FROM t GROUP BY c)
+    SELECT row_number() OVER (ORDER BY pos)::INTEGER AS root_ord, '(' || pos || CASE WHEN n IS NULL THEN '' WHEN n = 1 THEN ' ' || one ELSE ' ' || many END || ')' AS text FROM r LEFT JOIN m USING (c) WHERE k = 0"""
+)
+def nested_thread_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.branches(spark, sf_dir)
+    return thread_texts(T.thread_messages(m), m, identifier=F.col("input_pos") + 7).select("root_ord", "text")
+
+
+@query(
+    f"WITH {CHAIN}, t AS (SELECT conv_id, '(' || string_agg((pos * 2)::VARCHAR, ' ' ORDER BY turn) || ')' AS list FROM m WHERE turn % 2 = 0 GROUP BY conv_id) SELECT '* THREAD ' || string_agg(list, '' ORDER BY conv_id) || chr(13) || chr(10) AS response FROM t"
+)
+def imap_functions_crlf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.chain(spark, sf_dir)
+    return serialize_thread_response(T.thread_messages(m), m, identifier=lambda row: 2 * row["input_pos"], include=lambda row: row["turn"] % 2 == 0).select("response")
+
+
+_REFUSED = [
+    ("a number below 1", "SequenceNumberError"), ("a number twice", "SequenceNumberError"), ("a date of another type", "TypeError"), ("an identifier twice", "ThreadSerializationError"), ("an identifier of 0", "ThreadSerializationError"),
+    ("an identifier of 33 bits", "ThreadSerializationError"), ("another line ending", "ValueError"), ("another identifier", "ValueError"), ("an include that is no condition", "TypeError"), ("a cycle", "ThreadSerializationError"),
+    ("a node twice", "ThreadSerializationError"), ("a parent that isn't there", "ThreadSerializationError"), ("a table of something else", "TypeError"), ("a date of another type that nobody sorts by", "nothing"),
+]
+
+
+@query(_values(_REFUSED, "what, error"))
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engine says to input that is wrong in one way each, over the conversations."""
+    m = M.chain(spark, sf_dir)
+    forest = T.thread_messages(m)
+    by_date = lambda df: T.thread_messages(df, sort_by_sent_date=True)
+    text = lambda number, f=forest, **o: serialize_thread_response(f, m, identifier=number, **o)
+    pos, first = F.col("input_pos"), F.col("parent_id").isNull()
+    odd = m.withColumn("sent_date", F.lit(True))
+    cases = [
+        lambda: by_date(m.withColumn("sequence_number", pos - pos)), lambda: by_date(m.withColumn("sequence_number", F.col("conv_id") + 1)), lambda: by_date(odd), lambda: text(F.col("conv_id") + 1),
+        lambda: text(F.lit(0)), lambda: text(pos + (1 << 32)), lambda: text(pos, line_ending="\n"), lambda: text("number"), lambda: text(pos, include=1),
+        lambda: text(pos, forest.withColumn("parent_id", F.col("node_id"))), lambda: text(pos, forest.unionByName(forest)), lambda: text(pos, forest.withColumn("parent_id", F.when(~first, F.lit("n:0")))),
+        lambda: text(pos, m), lambda: T.thread_messages(odd).limit(1).count(),
+    ]
+    rows = []
+    for (what, _), case in zip(_REFUSED, cases, strict=True):
+        try:
+            case()
+            rows.append((what, "nothing"))
+        except Exception as e:  # noqa: BLE001
+            rows.append((what, type(e).__name__))
+    return spark.createDataFrame(rows, "what string, error string")
+
+
 # Raw mail
 
 

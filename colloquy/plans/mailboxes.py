@@ -90,3 +90,46 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.date_format("ts", "EEE', 'd MMM yyyy HH:mm:ss "), zone)
     odd = F.col("event_id") % 7 == 0
     return e.select(F.col("event_id").alias("input_pos"), "event_id", F.when(odd, F.lit("not a date")).otherwise(text).alias("sent_date"), F.when(odd, text).alias("internal_date"))
+
+
+def selfish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain, each of whose messages refers to itself as well."""
+    return chain(spark, sf_dir).withColumn("references", F.concat("references", F.array("message_id")))
+
+
+def mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in pairs that refer to each other."""
+    e = table(spark, sf_dir, "events")
+    name = lambda c: F.concat(F.lit("<e"), c.cast("string"), F.lit("@ex>"))
+    other = F.col("event_id") + 1 - 2 * (F.col("event_id") % 2)
+    return e.select(F.col("event_id").alias("input_pos"), name(F.col("event_id")).alias("message_id"), F.array(name(other)).alias("references"))
+
+
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rootless forks, whose customers share a hundred subjects."""
+    o = rootless(spark, sf_dir)
+    customer = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    return o.join(customer, o["input_pos"] == customer["k"]).withColumn("subject", F.concat(F.lit("[list] topic "), (F.col("c") % 100).cast("string"))).drop("k")
+
+
+def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders by threes: every second of three replies to the first order, the next two reply to that one."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("input_pos"))
+    own = F.sort_array(F.collect_list("input_pos"))
+    o = o.groupBy("o_custkey").agg(own.alias("all")).select("all", F.posexplode("all").alias("rank", "input_pos"))
+    head = F.get("all", F.col("rank") - F.pmod(F.col("rank") - 1, F.lit(3)))
+    first = order_id(F.get("all", F.lit(0)))
+    refs = F.when(F.col("rank") == 0, F.lit(None)).when(F.col("rank") % 3 == 1, F.array(first)).otherwise(F.array(first, order_id(head)))
+    return o.select("input_pos", order_id("input_pos").alias("message_id"), refs.alias("references"))
+
+
+def odd_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with broken header dates of eight forms; those of the last have an internal date."""
+    e = table(spark, sf_dir, "events")
+    day = F.date_format("ts", "d MMM yyyy")
+    forms = [
+        F.concat(day, F.lit(" 27:10:00 +0300")), day, F.concat(day, F.lit(" at noon EST")), F.concat(F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +9930")),
+        F.concat(day, F.date_format("ts", " HH:mm"), F.lit(":60 +0000")), F.concat(day, F.lit(" soon -0800")), F.concat(F.lit("  "), day, F.date_format("ts", " HH:mm:ss"), F.lit(" GMT ")), F.lit("32 Jul 2020 10:00:00 +0000"),
+    ]
+    k = (F.col("event_id") % 8 + 1).cast("int")
+    return e.select(F.col("event_id").alias("input_pos"), "event_id", F.element_at(F.array(*forms), k).alias("sent_date"), F.when(k == 8, F.concat(day, F.lit(" 06:00:00 +0600"))).alias("internal_date"))

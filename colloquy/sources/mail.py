@@ -29,10 +29,14 @@ def header_texts(raw: bytes | None) -> dict[str, str | None]:
 
 
 def parse_emails(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """``df`` with the headers of its column of raw messages as mailbox columns; the other columns stay, the raw one too, as payload."""
+    """``df`` with the headers of its column of raw messages as mailbox columns.
+
+    The other columns stay as payload, the raw one too; one with a header column's name stays as ``given_`` and that name.
+    """
     ship(df.sparkSession)
-    clash = [c for c in df.columns if c in HEADERS]
-    df = df.drop(*clash)
+    if raw in HEADERS:
+        raw, df = f"given_{raw}", df.withColumnRenamed(raw, f"given_{raw}")
+    df = df.withColumnsRenamed({c: f"given_{c}" for c in df.columns if c in HEADERS})
     before, names = df.columns, list(HEADERS)
     place = before.index(raw)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.StringType()) for n in names]])

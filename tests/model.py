@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
-from colloquy.functions.dates import EARLIEST, micros_of
-from colloquy.functions.text import base_subject_of, casemap
+import re
+from email.utils import parsedate_to_datetime
+
+EARLIEST = -62_135_596_800_000_000
+
+
+def micros_of(date):
+    """Microseconds of a date that has no fault."""
+    return None if date is None else int(parsedate_to_datetime(date).timestamp()) * 1_000_000
+
+
+def base_subject_of(subject):
+    """(base, whether a reply) of subjects with leaders and list tags alone."""
+    text, reply = (subject or "").strip(), False
+    while True:
+        if lead := re.match(r"(\[\w+\] ?)*(re|fwd?):\s*", text, re.I):
+            text, reply = text[lead.end() :], True
+        elif tag := re.match(r"\[\w+\] ?(?=.)", text):
+            text = text[tag.end() :]
+        else:
+            return text, reply
+
+
+casemap = str.upper  # of ASCII
 
 
 class Box:

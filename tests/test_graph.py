@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators.graph import CycleError, climb, components, ranked
+from colloquy.operators.graph import CycleError, circular_core, climb, components, ranked
 
 
 def test_components(spark):
@@ -24,6 +24,32 @@ def test_climb(spark):
     assert sorted(map(tuple, climb(spark.createDataFrame(rows, "node string, parent string")).collect())) == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("d", "d", 0)]
     with pytest.raises(CycleError):
         climb(spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string"))
+    some = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", None), ("e", "d")], "node string, parent string")
+    assert sorted(map(tuple, climb(some, strict=False).collect())) == [("d", "d", 0), ("e", "d", 1)]
+
+
+def test_core_keeps_all_cycles(spark):
+    r = random.Random(3)
+    for k in (0, 2, 4):
+        n = 60
+        edges = {(f"n{a:02}", f"n{b:02}") for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(40 + 10 * k)) if a != b}
+        reach = {}
+        for a, b in edges:
+            reach.setdefault(a, set()).add(b)
+
+        def below(x):
+            seen, stack = set(), [x]
+            while stack:
+                for y in reach.get(stack.pop(), ()):
+                    if y not in seen:
+                        seen.add(y)
+                        stack.append(y)
+            return seen
+
+        core, count = circular_core(spark.createDataFrame(sorted(edges), "a string, b string"))
+        kept = {tuple(x) for x in core.collect()}
+        on_cycles = {(a, b) for a, b in edges if a in below(b)}
+        assert on_cycles <= kept <= edges and len(kept) == count and (on_cycles or not kept or k > 3)
 
 
 def test_ranks_over_ranges(spark):

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators.render import ThreadSerializationError, render_thread, response_text, serialize_thread_data, serialize_thread_response
+from colloquy.operators.render import ThreadSerializationError, render_thread, response_text, serialize_thread_data, serialize_thread_response, thread_texts
 from colloquy.schema import NODE_SCHEMA
 
 
@@ -76,3 +76,13 @@ def test_errors(spark):
     for rows in ([(1, "a", "b"), (2, "b", "a")], [(1, "a", None), (2, "b", "z")], [(1, "a", None), (2, "b", "a"), (2, "b", None)]):
         with pytest.raises(ThreadSerializationError):
             serialize_thread_data(forest(spark, rows), m, identifier="uid", validate=True)
+
+
+def test_threads_as_rows_and_default_refusals(spark):
+    f, m = forest(spark, [(1, "a", None), (2, "b", "a"), (3, "c", "b"), (4, "d", "b")]), messages(spark, [1, 2, 3, 5])
+    assert [tuple(r) for r in thread_texts(f, m, identifier="uid").collect()] == [(None, 1, "(1 2 (3)(5))")]
+    with pytest.raises(ThreadSerializationError):
+        serialize_thread_data(forest(spark, [(1, "a", "b"), (2, "b", "a")]), m, identifier="uid")
+    for bad in (m, None, f.withColumn("depth", F.lit("1"))):
+        with pytest.raises(TypeError):
+            serialize_thread_data(bad, m, identifier="uid")

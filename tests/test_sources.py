@@ -19,6 +19,7 @@ def test_emails(spark):
     second = RAW.replace(b"<a@x>", b"<b@x>").replace(b"<r@x>\r\n\t<s@x>", b"<a@x>")
     df = spark.createDataFrame([(1, "keep", "clash", RAW), (2, "me", "clash", second)], "input_pos long, note string, subject string, raw binary")
     parsed = parse_emails(df).orderBy("input_pos").collect()
+    assert [r["given_subject"] for r in parsed] == ["clash", "clash"]
     assert [r["note"] for r in parsed] == ["keep", "me"] and parsed[0]["subject"] == "café" and bytes(parsed[0]["raw"]) == RAW
     rows = {r["input_pos"]: r["parent_id"] for r in thread_email_messages(df, sort_by_sent_date=True).collect()}
     assert rows == {1: None, 2: "n:1"}

@@ -3,8 +3,10 @@ import random
 
 import model
 import pytest
+from pyspark.sql import functions as F
 
-from colloquy.operators.kernel import choose_parents
+from colloquy.operators import threading as engine
+from colloquy.operators.kernel import LAST, choose_parents
 from colloquy.operators.threading import SequenceNumberError, thread_messages
 
 SCHEMA = "mailbox_id string, input_pos long, message_id string, in_reply_to array<string>, references array<string>, subject string, sent_date string, sequence_number long"
@@ -125,3 +127,97 @@ def test_empty(spark):
 
 def test_kernel_keeps_the_first_of_contradicting_edges():
     assert choose_parents([(1, "a", ["b"]), (2, "b", ["a"])]) == {"a": ("b", 1, 2_147_483_647)}
+
+
+def naive_parents(messages):
+    parent = {}
+
+    def above(node):
+        while node is not None:
+            yield node
+            node = parent[node][0] if node in parent else None
+
+    for position, own, chain in sorted(messages):
+        for index, (a, b) in enumerate(zip(chain, chain[1:]), 1):
+            if b not in parent and b not in above(a):
+                parent[b] = (a, position, index)
+        if chain and own not in above(chain[-1]):
+            parent[own] = (chain[-1], position, LAST)
+    return parent
+
+
+def test_kernel_against_a_naive_one():
+    r = random.Random(11)
+    for _ in range(3000):
+        names = [str(i) for i in range(r.randint(1, 12))]
+        messages = [(i, r.choice(names), r.sample(names, r.randint(0, min(4, len(names))))) for i in range(r.randint(1, 15))]
+        assert choose_parents(messages) == naive_parents(messages)
+
+
+def test_kernel_takes_long_chains():
+    n = 100_000
+    r = random.Random(12)
+    for places in (range(n), range(n, 0, -1), r.sample(range(n), n)):
+        found = choose_parents([(p, f"{i + 1}", [f"{i}"]) for i, p in enumerate(places)] + [(2 * n, "0", [f"{n}"])])
+        assert len(found) == n and "0" not in found
+
+
+@pytest.fixture
+def no_kernel(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("the kernel is asked")
+
+    monkeypatch.setattr(engine, "fold_groups", refuse)
+
+
+@pytest.mark.parametrize("order", ["oldest", "newest", "any"])
+def test_chains_of_replies_need_no_kernel(spark, no_kernel, order):
+    n = 100_000 if order != "any" else 20_000
+    places = F.col("id") + 1 if order == "oldest" else n - F.col("id") if order == "newest" else F.pmod(F.col("id") * 7919, F.lit(n)) + 1
+    named = lambda c: F.concat(F.lit("m"), c.cast("string"))
+    df = spark.range(n).select(places.alias("input_pos"), named(F.col("id")).alias("message_id"), F.when(F.col("id") > 0, F.array(named(F.col("id") - 1))).alias("in_reply_to"), "id")
+    got = thread_messages(df).join(df.select(F.col("input_pos").alias("p"), "id"), F.col("input_pos") == F.col("p"))
+    assert got.where(F.col("depth") == F.col("id")).count() == n
+
+
+def test_consistent_mail_needs_no_kernel(spark, no_kernel):
+    """Truncated references, forks and gaps, in any order of arrival."""
+    r = random.Random(13)
+    boxes = []
+    for k in range(20):
+        n = 40
+        up = [None] + [r.randrange(i) for i in range(1, n)]
+        rows = []
+        for i in range(n):
+            chain, at = [], up[i]
+            while at is not None and len(chain) < r.randint(1, 4):
+                chain.append(f"m{at}")
+                at = up[at]
+            rows.append((f"m{i}", " ".join(reversed(chain))))
+        r.shuffle(rows)
+        boxes.append(box(f"b{k}", *rows))
+    want = {b[0]["mailbox_id"]: [model.shape(x) for x in model.thread(b)] for b in boxes}
+    assert shapes(frame(spark, boxes)) == want
+
+
+def test_only_the_core_goes_to_the_kernel(spark, monkeypatch):
+    """A long thread with one contradiction: nodes on no cycle don't travel, and both ways to send the core agree."""
+    sent = []
+    fold = engine.fold_groups
+    monkeypatch.setattr(engine, "fold_groups", lambda df, *a: sent.append(df.count()) or fold(df, *a))
+    rows = [(f"m{i}", f"m{i - 1}" if i else "") for i in range(300)] + [("x", "y m299"), ("y", "x m299")]
+    r = random.Random(14)
+    r.shuffle(rows)
+    b = box("b", *rows)
+    want = {"b": [model.shape(x) for x in model.thread(b)]}
+    assert shapes(frame(spark, [b])) == want
+    monkeypatch.setattr(engine, "SMALL_CORE", 0)
+    assert shapes(frame(spark, [b, [m | {"mailbox_id": "c"} for m in b]])) == want | {"c": want["b"]}
+    assert sent and max(sent) <= 12
+
+
+def test_odd_types_matter_only_where_they_are_sorted_by(spark):
+    df = frame(spark, [box("x", ("a", ""), ("b", "a"))]).withColumn("sent_date", F.lit(True))
+    assert thread_messages(df).count() == 2
+    with pytest.raises(TypeError):
+        thread_messages(df, sort_by_sent_date=True)
