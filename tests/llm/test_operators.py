@@ -380,6 +380,18 @@ def test_rules_adapt(spark):
     assert not got.pop(5000) and all(got.values())
 
 
+def test_every_rule_can_fire_and_good_documents_stay(spark):
+    """On the tables each metric's quartiles set some group's threshold, junk goes, and no document of quality 1 that passes the base rules does."""
+    rated = common.staged(rules.measured(common.read(spark, "/root/testdata/sf0.1", "documents")).drop("text"), "rated")
+    limits = rules.thresholds(rated)
+    got = rules.judged(rated, limits).join(common.read(spark, "/root/testdata/sf0.1", "labels").select(F.col("doc_id").alias("d"), "quality"), F.col("doc_id") == F.col("d"))
+    passing = got.where("not _rules.base_failed")
+    assert passing.where("quality = 1 and not _kept").count() == 0 and passing.where("quality = 1").count() == 3302
+    assert passing.where("quality = 0 and _kept").count() <= 3
+    first = limits.select(*[F.min(f"l{k}") for k in range(len(rules.RULES))], *[F.max(f"l{k}") for k in range(len(rules.RULES))]).first()
+    assert sum(first[k] < first[k + len(rules.RULES)] for k in range(len(rules.RULES))) >= len(rules.RULES) - 1  # all but symbols differ by group
+
+
 def test_rules_keep_columns_and_stay_native(spark, odd):
     kept = rules.keep_good(odd)
     assert kept.columns == odd.columns and rules.keep_good(odd.limit(0)).count() == 0 and rules.apply_rules(odd.limit(0)).count() == 0
