@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -469,6 +470,26 @@ def test_scores_and_redaction():
     assert len(pii.find("1" * 200_000 + "a." * 100_000)) == 0
 
 
+def test_context_decides_what_is_added(spark):
+    kinds = lambda text: [s["kind"] for s in pii.find(text)]
+    for span, kind, words_for, words_against in (
+        ("(030) 901 8200", "local_phone", "call me:", "invoice no."), ("020-7946-0958", "local_phone", "Tel", "order"), ("123-45-6789", "tax_id", "SSN", "part"),
+        ("DE89370400440532013000", "iban", "to my account", "serial"), ("cf1d64a9a4cd9723e1f4eafc27395915e6868ffa", "secret", "token =", "commit"),
+    ):
+        assert kinds(f"x {words_for} {span} y") == [kind] and kinds(f"x {words_against} {span} y") == [], span
+        assert kinds(f"x {words_for} {words_against} {span} y") == [], span
+    assert kinds("DE89 3704 0044 0532 0130 00") == ["iban"] and kinds("DE89370400440532013000") == [] and kinds("call 4111 1111 1111 1111 now") == ["card"]
+    assert kinds("token supercalifragilisticexpialidocious") == [] and kinds("call 1.234.567,89 or 2020-12-24 or 12.345.678") == []
+    for score in (s["score"] for s in pii.find("card 4111 1111 1111 1111, call (030) 901 8200")):
+        assert 0 <= score <= 1
+    row = pii.op8_pii(spark, SF).where("spans <> ''").first()
+    assert len(row["scores"].split(",")) == len(row["spans"].split(","))
+    for hostile in ("(030) " * 30_000, "1-" * 100_000, "a1" * 100_000, "123-45-" * 30_000, "DE89 " * 30_000, "(030) 901 8200 " * 5_000):
+        began = time.perf_counter()
+        pii.find(hostile)
+        assert time.perf_counter() - began < 4
+
+
 # 9. Decontamination
 
 
