@@ -1,17 +1,18 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each task turns shards of its documents into word streams and builds a suffix array of each: the positions
-of its suffixes, sorted by their first ``WINDOW`` words. Only suffixes that a benchmark text can match at all are
-kept, those that begin a run of benchmark words as long as the shortest window. Every test suffix is then
-binary-searched, all of them at once, which gives the range of equal training suffixes with their places.
-Matches that touch or overlap in a document join into spans: unions of hits over all items, so that a span may be longer than
-what any one item holds.
-
-The benchmark is sent to the tasks in blocks of at most ``BLOCK_WORDS`` words; with several blocks each is one more
-pass over the rows, with what earlier ones found carried along. Memory is bounded by a block and a shard.
-
-Defined results: null and empty texts have no words, no hits and no items; items without words
-match nothing; an item given twice counts once; one without an id hits words but isn't named; repeated documents are judged each.
+Each task turns shards of its documents into streams of word numbers and builds the suffix array of each by
+prefix doubling: the places of all its suffixes, in the order of their first ``DEPTH`` words. Every test suffix (each
+place of a benchmark item) is binary-searched in it word by word, all of them at once, which narrows
+ranges of training places. A range that is left after a window's words holds the window's occurrences; longest matches grow from
+those that can't be extended to the left. No rows move between tasks.
+
+The benchmark is sent in blocks of whole items, bounded by words and bytes; a task builds each array once and holds one block at
+a time beside it, so more blocks cost more searches but no more memory and no more passes.
+
+Defined results: null and empty texts have no words, no hits and no items; items without words match
+nothing; an item given twice counts once; one without an id hits words but isn't named; repeated documents are judged each;
+where a window occurs at several places, or in several items, all count. Spans of ``contamination`` are unions of hits, so that one may be longer than
+what any item holds; ``longest_matches`` gives what single items hold.
 """
 
 from __future__ import annotations
@@ -21,16 +22,19 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import common
 
-WINDOW = 10
-BLOCK_WORDS = 1_000_000
-SHARD_WORDS = 400_000
+#: Words of a window, and of a suffix by which suffixes are sorted at least.
+WINDOW, DEPTH = 10, 16
+#: Words and (about) bytes of a block of items, words of a shard and pairs that a search holds, unless one item, document or place has more.
+BLOCK_WORDS, BLOCK_BYTES, SHARD_WORDS, PAIRS = 1_000_000, 48_000_000, 400_000, 500_000
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 FOUND = "n_words long, spans array<struct<start: int, end: int>>, items array<long>"
+MATCHES = "doc_id long, start int, end int, n_words int, item_id long, item_start int"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -38,108 +42,162 @@ def words(text: str | None) -> list[bytes]:
     return WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
+class _Numbers(dict):
+    """Numbers from 1 for words in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
 class Block:
-    """The test suffixes of some items: their windows as packed keys, and which items have each."""
+    """Test suffixes of some items as arrays: the items' words one after the other with a 0 before and between them, and where their windows are."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW):
+        numbers = _Numbers()
         self.window = window
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item_id, own in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item_id)
-        self.windows = sorted(found)
-        self.items = [sorted(i for i in found[w] if i is not None) for w in self.windows]
-        self.sizes = np.array([len(w) for w in self.windows], np.int64)
-        self.shortest = int(self.sizes.min()) if len(self.sizes) else 0
-        self.bits = max(1, len(self.vocabulary).bit_length() + 1)
-        self.per_key = 63 // self.bits
-        top = (1 << self.bits) - 1
-        self.low = self.pack(np.array([w + (0,) * (window - len(w)) for w in self.windows], np.int64).reshape(-1, window))
-        self.high = self.pack(np.array([w + (top,) * (window - len(w)) for w in self.windows], np.int64).reshape(-1, window))
-
-    def pack(self, columns: np.ndarray) -> list[np.ndarray]:
-        """Keys that sort like the rows of word ids, several ids to each 64-bit number."""
-        out = []
-        for k in range(0, self.window, self.per_key):
-            key = np.zeros(len(columns), np.int64)
-            for j in range(k, k + self.per_key):
-                key = (key << self.bits) | (columns[:, j] if j < self.window else 0)
-            out.append(key)
-        return out
-
-
-def suffix_array(stream: np.ndarray, block: Block) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Positions of the suffixes that can match, sorted by their first words, and their keys. 0 ends a run in the stream."""
-    n, w = len(stream), block.window
-    stops = np.flatnonzero(stream == 0)
-    lengths = np.diff(np.concatenate([[-1], stops, [n]])) - 1  # of the runs of benchmark words between stops
-    starts = np.concatenate([[-1], stops]) + 1
-    long = lengths >= max(1, block.shortest)
-    starts, lengths = starts[long], lengths[long]
-    spare = lengths - block.shortest + 1
-    at = np.repeat(starts, spare) + (np.arange(spare.sum()) - np.repeat(np.cumsum(spare) - spare, spare))
-    end = np.repeat(starts + lengths, spare)
-    columns = np.empty((len(at), w), np.int64)
-    for j in range(w):
-        inside = at + j < end
-        columns[:, j] = np.where(inside, stream[np.minimum(at + j, n - 1)], 0)
-    keys = block.pack(columns)
-    order = np.lexsort(keys[::-1])
-    return at[order], [k[order] for k in keys]
-
-
-def search(keys: list[np.ndarray], wanted: list[np.ndarray], right: bool) -> np.ndarray:
-    """Where each wanted suffix would stand in the sorted keys, before (or after, ``right``) equal ones."""
-    low = np.zeros(len(wanted[0]), np.int64)
-    high = np.full(len(wanted[0]), len(keys[0]), np.int64)
-    while (open_ := low < high).any():
-        mid = np.where(open_, (low + high) // 2, 0)
-        less, same = np.zeros(len(mid), bool), np.ones(len(mid), bool)
-        for k, x in zip(keys, wanted, strict=True):
-            less |= same & (k[mid] < x)
-            same &= k[mid] == x
-        go = open_ & (less | same if right else less)
-        low, high = np.where(go, mid + 1, low), np.where(open_ & ~go, mid, high)
-    return low
-
-
-def matches(stream: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, windows) of every occurrence of every window in the stream."""
-    none = np.empty(0, np.int64)
-    if not block.windows or not len(stream):
-        return none, none
-    places, keys = suffix_array(stream, block)
-    if not len(places):
-        return none, none
-    first, last = search(keys, block.low, False), search(keys, block.high, True)
+        lengths = np.array([len(own) for _, own in items], np.int64)
+        self.flat = np.zeros(int(lengths.sum()) + len(items) + 1, np.int32)
+        ends = np.cumsum(lengths + 1)
+        self.starts = ends - lengths
+        for (_, own), start in zip(items, self.starts, strict=True):
+            self.flat[start : start + len(own)] = np.fromiter(map(numbers.__getitem__, own), np.int32, len(own))
+        self.words = list(numbers)
+        self.named = np.array([i is not None for i, _ in items], bool)
+        self.item_ids = np.array([i or 0 for i, _ in items], np.int64)
+        each = np.where(lengths > 0, np.maximum(1, lengths - window + 1), 0)
+        self.item = np.repeat(np.arange(len(items)), each)
+        self.at = np.repeat(self.starts, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        self.sizes = np.minimum(np.repeat(lengths, each), window)
+
+
+def suffix_array(stream: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Places of all words of the stream, in the order of the ``depth`` numbers that follow from there (or a power of two above). 0 isn't a word."""
+    rank = stream.astype(np.int64)
+    order, width = np.argsort(rank, kind="stable"), 1
+    while width < min(depth, len(rank)):
+        ahead = np.zeros_like(rank)
+        ahead[: len(rank) - width] = rank[width:]
+        key = rank * (int(rank.max()) + 1) + ahead
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        rank = np.empty_like(rank)
+        rank[order] = np.concatenate([[1], np.cumsum(key[1:] != key[:-1]) + 1])
+        width *= 2
+        if rank[order[-1]] == len(rank):
+            break
+    return order[stream[order] > 0]
+
+
+class Shard:
+    """Some documents as a stream of numbers, a 0 after each, and its suffix array."""
+
+    def __init__(self, texts: list[list[bytes]], window: int = WINDOW):
+        self.numbers = _Numbers()
+        lengths = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(lengths + 1)
+        self.starts = self.ends - lengths - 1
+        self.depth = max(DEPTH, window)
+        n = int(self.ends[-1]) if len(texts) else 0
+        self.stream = np.zeros(n + 2 * self.depth, np.int64)  # padded, so that reading on needs no check
+        for t, start in zip(texts, self.starts, strict=True):
+            self.stream[start : start + len(t)] = np.fromiter(map(self.numbers.__getitem__, t), np.int64, len(t))
+        self.places = suffix_array(self.stream[:n], self.depth)
+
+    def test(self, block: Block) -> np.ndarray:
+        """The block's stream in this shard's numbers; 0 for words that it doesn't have."""
+        return np.concatenate([[0], np.fromiter(map(self.numbers.get, block.words, repeat(0)), np.int64, len(block.words))])[block.flat]
+
+    def _bound(self, low: np.ndarray, high: np.ndarray, word: np.ndarray, column: int, right: bool) -> np.ndarray:
+        """Where ``word`` would stand among the words at ``column`` of the suffixes from ``low`` to ``high``, before (or after) equal ones."""
+        low, high = low.copy(), high.copy()
+        while (open_ := low < high).any():
+            mid = np.where(open_, (low + high) // 2, 0)
+            there = self.stream[self.places[mid] + column]
+            go = open_ & ((there <= word) if right else (there < word))
+            low, high = np.where(go, mid + 1, low), np.where(open_ & ~go, mid, high)
+        return low
+
+    def search(self, test: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of suffixes that begin with ``sizes`` words of ``test`` from ``at`` on, empty where there is none."""
+        first, last = np.zeros(len(at), np.int64), np.full(len(at), len(self.places), np.int64)
+        for column in range(int(sizes.max()) if len(sizes) else 0):
+            asked = np.flatnonzero((column < sizes) & (first < last))
+            if not len(asked):
+                break
+            word, low, high = test[at[asked] + column], first[asked], last[asked]
+            high = np.where(word > 0, high, low)  # a word that the shard doesn't have is in no suffix
+            first[asked] = self._bound(low, high, word, column, False)
+            last[asked] = self._bound(first[asked], high, word, column, True)
+        return first, last
+
+    def windows(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(test stream, windows of the block that occur, their ranges)."""
+        test = self.test(block)
+        known = np.flatnonzero(test[block.at] > 0)
+        first, last = self.search(test, block.at[known], block.sizes[known])
+        found = first < last
+        return test, known[found], first[found], last[found]
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of all ranges, and the range of each."""
     count = last - first
-    return places[np.repeat(first, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))], np.repeat(np.arange(len(count)), count)
+    of = np.repeat(np.arange(len(count)), count)
+    return np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), of
 
 
-def judge(texts: list[list[bytes]], block: Block) -> Iterator[tuple[list[tuple[int, int]], list[int]]]:
+def judge(shard: Shard, block: Block) -> list[tuple[list[tuple[int, int]], list[int]]]:
     """For each document of a shard: merged spans of hit words, and the items that occur."""
-    get = block.vocabulary.get
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    starts = ends - [len(t) + 1 for t in texts]
-    stream = np.zeros(int(ends[-1]) if len(texts) else 0, np.int64)
-    for t, s in zip(texts, starts, strict=True):
-        stream[s : s + len(t)] = np.fromiter(map(get, t, repeat(0)), np.int64, len(t))
-    at, window = matches(stream, block)
-    edge = np.bincount(at, minlength=len(stream) + 1) - np.bincount(at + block.sizes[window], minlength=len(stream) + 1) if len(at) else np.zeros(len(stream) + 1, np.int64)
+    n = len(shard.starts)
+    _, window, first, last = shard.windows(block)
+    if not len(window):
+        return [([], [])] * n
+    # Equal windows have one range: each place is met once for each size of window at most.
+    sizes = block.sizes[window]
+    _, at, of = np.unique(first * (block.window + 1) + sizes, return_index=True, return_inverse=True)
+    row, which = _spread(first[at], last[at])
+    places, long = shard.places[row], sizes[at][which]
+    edge = np.bincount(places, minlength=len(shard.stream) + 1) - np.bincount(places + long, minlength=len(shard.stream) + 1)
     hit = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
     opens, closes = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(~hit[1:] & hit[:-1])
-    of_span = np.searchsorted(starts, opens, "right") - 1
-    pairs = np.unique((np.searchsorted(starts, at, "right") - 1) * max(1, len(block.windows)) + window)
     spans: dict[int, list] = {}
     items: dict[int, set] = {}
-    for d, a, b in zip(of_span.tolist(), opens.tolist(), closes.tolist(), strict=True):
-        spans.setdefault(d, []).append((a - int(starts[d]), b - int(starts[d])))
-    for p in pairs.tolist():
-        items.setdefault(p // len(block.windows), set()).update(block.items[p % len(block.windows)])
-    for d in range(len(texts)):
-        yield spans.get(d, []), sorted(items.get(d, ()))
+    for d, a, b in zip((np.searchsorted(shard.starts, opens, "right") - 1).tolist(), opens.tolist(), closes.tolist(), strict=True):
+        spans.setdefault(d, []).append((a - int(shard.starts[d]), b - int(shard.starts[d])))
+    named = block.named[block.item[window]]
+    order = np.argsort(of[named], kind="stable")
+    ids, cuts = block.item_ids[block.item[window]][named][order], np.searchsorted(of[named][order], np.arange(len(at) + 1))
+    of_range: dict[int, set] = {}
+    for pair in np.unique((np.searchsorted(shard.starts, places, "right") - 1) * len(at) + which).tolist():
+        d, k = divmod(pair, len(at))
+        if k not in of_range:
+            of_range[k] = set(ids[cuts[k] : cuts[k + 1]].tolist())
+        items.setdefault(d, set()).update(of_range[k])
+    return [(spans.get(d, []), sorted(items.get(d, ()))) for d in range(n)]
+
+
+def longest(shard: Shard, block: Block) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, start, end, item's place in the block, start in the item) of every match that neither side can extend."""
+    test, window, first, last = shard.windows(block)
+    many = np.cumsum(last - first)
+    for part in np.split(np.arange(len(window)), np.flatnonzero(np.diff(many // PAIRS)) + 1) if len(window) else []:
+        row, which = _spread(first[part], last[part])
+        place, at = shard.places[row], block.at[window[part]][which]
+        before = np.where(place > 0, shard.stream[np.maximum(place, 1) - 1], 0)
+        begins = (test[at - 1] != before) | (before == 0)
+        place, at, long = place[begins], at[begins], block.sizes[window[part]][which][begins].copy()
+        item = block.item[window[part]][which][begins]
+        limit = len(test)
+        grows = np.arange(len(place))
+        while len(grows):
+            there = at[grows] + long[grows]
+            mine = np.where(there < limit, test[np.minimum(there, limit - 1)], 0)
+            grows = grows[(mine > 0) & (mine == shard.stream[place[grows] + long[grows]])]
+            long[grows] += 1
+        of = np.searchsorted(shard.starts, place, "right") - 1
+        start = place - shard.starts[of]
+        yield from zip(of.tolist(), start.tolist(), (start + long).tolist(), item.tolist(), (at - block.starts[item]).tolist(), strict=True)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -152,19 +210,33 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """The benchmark (item_id, text) in blocks of whole items that the driver holds one at a time."""
-    held, total = [], 0
+    held, total, size, seen = [], 0, 0, set()
     for row in benchmark.select("item_id", "text").toLocalIterator():
         own = words(row["text"])
-        if held and total + len(own) > block_words:
+        if held and (total + len(own) > block_words or size > block_bytes):
             yield Block(held, window)
-            held, total = [], 0
+            held, total, size, seen = [], 0, 0, set()
         held.append((row["item_id"], own))
         total += len(own)
+        size += 40 * len(own) + sum(len(w) + 60 for w in {*own} - seen)  # arrays of the windows, and each word once
+        seen.update(own)
     yield Block(held, window)
 
 
+def _sent(benchmark: DataFrame, spark: SparkSession, window: int, block_words: int) -> list[Broadcast]:
+    return [spark.sparkContext.broadcast(b) for b in blocks(benchmark, window, block_words)]
+
+
+def _each(sent: list[Broadcast]) -> Iterator[Block]:
+    """The blocks in a task: a single one is kept for the worker's next tasks, of several one at a time is in memory."""
+    for block in sent:
+        yield block.value
+        if len(sent) > 1 and hasattr(block, "_value"):
+            del block._value  # its file stays on the executor's disk
+
+
 def shards(texts: list[list[bytes]], most: int = SHARD_WORDS) -> Iterator[slice]:
     start, total = 0, 0
     for k, t in enumerate(texts):
@@ -178,48 +250,72 @@ def shards(texts: list[list[bytes]], most: int = SHARD_WORDS) -> Iterator[slice]
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, spans of hit words (start, end) and items of every document."""
-    context = documents.sparkSession.sparkContext
-    shared = [context.broadcast(b) for b in blocks(benchmark, window, block_words)]
-    out = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    for k, block in enumerate(shared):
-        first, last = k == 0, k == len(shared) - 1
-
-        def make(block=block, first=first, last=last):
-            def run(c):
-                texts = list(map(words, c[1]))
-                got = [x for part in shards(texts) for x in judge(texts[part], block.value)]
-                spans, items = [s for s, _ in got], [i for _, i in got]
-                if not first:
-                    spans = [merge_spans([*a, *((x["start"], x["end"]) for x in b)]) for a, b in zip(spans, c[3], strict=True)]
-                    items = [sorted({*a, *b}) for a, b in zip(items, c[4], strict=True)]
-                spans = [[{"start": a, "end": b} for a, b in s] for s in spans]
-                return [c[0], *([] if last else [c[1]]), [len(t) for t in texts], spans, items]
-
-            return run
-
-        out = common.map_rows(out, make, f"doc_id long, {'' if last else 'text string, '}{FOUND}")
-    return out
+    sent = _sent(benchmark, documents.sparkSession, window, block_words)
 
+    def make():
+        def run(c):
+            texts = list(map(words, c[1]))
+            spans, items = [], []
+            for part in shards(texts):
+                shard = Shard(texts[part], window)
+                judged = [judge(shard, block) for block in _each(sent)]
+                for found in zip(*judged, strict=True):
+                    all_spans = found[0][0] if len(found) == 1 else merge_spans([x for s, _ in found for x in s])
+                    spans.append([{"start": a, "end": b} for a, b in all_spans])
+                    items.append(found[0][1] if len(found) == 1 else sorted({i for _, own in found for i in own}))
+            return [c[0], [len(t) for t in texts], spans, items]
 
-def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, start and end of each maximal run of hit words, and the items of the whole document: unions of the hits of all items, not one item's match."""
-    return contamination(documents, benchmark, window).select("doc_id", F.explode("spans").alias("span"), "items").select("doc_id", "span.start", "span.end", (F.col("span.end") - F.col("span.start")).alias("n_words"), "items")
+        return run
 
+    return common.map_rows(documents.select("doc_id", F.col("text").cast("string").alias("text")), make, f"doc_id long, {FOUND}")
 
-def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``documents`` without those that hold a window of any item; all columns stay, no shuffle."""
-    for block in blocks(benchmark, window, block_words):
-        shared = documents.sparkSession.sparkContext.broadcast(block)
 
-        def make(shared=shared):
-            def run(texts):
-                split = list(map(words, texts))
-                return None, [not spans for part in shards(split) for spans, _ in judge(split[part], shared.value)]
+def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Every longest verbatim match of at least a window (a whole item, if that is shorter) with its places, in words: doc_id, start, end, n_words, item_id, item_start.
+
+    Each match lies in one item and one document, and no longer one holds it at the same places.
+    """
+    sent = _sent(benchmark, documents.sparkSession, window, block_words)
+
+    def make():
+        def run(c):
+            texts = list(map(words, c[1]))
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for part in shards(texts):
+                shard = Shard(texts[part], window)
+                for block in _each(sent):
+                    for d, start, end, item, item_start in longest(shard, block):
+                        item_id = int(block.item_ids[item]) if block.named[item] else None
+                        for column, value in zip(out, (c[0][part.start + d], start, end, end - start, item_id, item_start), strict=True):
+                            column.append(value)
+            return list(out)
 
-            return run
+        return run
 
-        documents = common.map_text(documents, make)
-    return documents
+    return common.map_rows(documents.select("doc_id", F.col("text").cast("string").alias("text")), make, MATCHES)
+
+
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``documents`` without those that hold a window of any item; all columns stay, no shuffle."""
+    sent = _sent(benchmark, documents.sparkSession, window, block_words)
+
+    def make():
+        def run(texts):
+            split, keep = list(map(words, texts)), []
+            for part in shards(split):
+                shard = Shard(split[part], window)
+                clean = np.ones(part.stop - part.start, bool)
+                for block in _each(sent):
+                    _, window_, first, last = shard.windows(block)
+                    _, at = np.unique(first * (window + 1) + block.sizes[window_], return_index=True)
+                    hit = shard.places[_spread(first[at], last[at])[0]]
+                    clean[np.searchsorted(shard.starts, np.unique(hit), "right") - 1] = False
+                keep += clean.tolist()
+            return None, keep
+
+        return run
+
+    return common.map_text(documents, make)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
