@@ -1,13 +1,14 @@
 """Best-fit packing into sequences of bounded length, online and in bounded space.
 
-Each task packs the pieces of its own rows: a piece goes to the open sequence with the least free space that
+Each task packs the pieces of its own rows as they come: a piece goes to the open sequence with the least free space that
 still takes it, found in a bitset keyed by free space. A fixed number of sequences is open; when one more is
-needed, the fullest closes first. A task looks ahead over a fixed number of pieces and places the longest
-of them first, which leaves the short ones for the gaps. Nothing is shuffled, so a repeated task packs
-the same rows alike, and the loss is at most the open sequences of a task.
+needed, the fullest closes first. Pieces pass a buffer of ``AHEAD``, which is emptied longest first, so that short ones
+find the gaps; it is the same for every caller and every size of input. Nothing is shuffled, so a repeated task packs
+the same rows alike, and a task holds no more than its open sequences and its buffer.
 
 Defined results: null and empty texts are one piece that holds the end token alone; documents
-longer than a sequence are cut so that only the first piece is short; repeated rows are packed each.
+longer than a sequence are cut so that only the first piece is short; repeated rows are packed each; of pieces of equal length the
+earlier is placed first, of sequences with equal free space the one that got it last takes the piece, and closes first.
 """
 
 from __future__ import annotations
@@ -24,10 +25,8 @@ from colloquy.llm import common, vocab
 
 CAPACITY = 1024
 END = 2
-#: Open sequences, and pieces that wait to be placed, of a task.
-OPEN, AHEAD = 4096, 16384
-#: Bytes of kept token ids that wait at most (about).
-AHEAD_BYTES = 8_000_000
+#: Open sequences, and pieces of the buffer, of a task.
+OPEN, AHEAD = 512, 1024
 
 
 class OpenBins:
@@ -35,7 +34,7 @@ class OpenBins:
 
     def __init__(self, capacity: int = CAPACITY, most: int = OPEN, first: int = 0):
         self.capacity, self.most, self.next = capacity, most, first
-        self.bits, self.open = 0, 0
+        self.bits, self.open, self.closed = 0, 0, 0
         self.at: list[list[int]] = [[] for _ in range(capacity + 1)]
 
     def _take(self, free: int) -> int:
@@ -53,6 +52,7 @@ class OpenBins:
         else:
             if self.open >= self.most:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             free, bin_ = self.capacity, self.next
             self.next += 1
         if left := free - length:
@@ -88,14 +88,18 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN,
             return columns
 
         def run(c):
+            out = []
             for doc_id, text in zip(*c, strict=True):
                 ids, start = encode(text) + end, 0
                 for piece, n in enumerate(cut(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + n)]
                     waiting.append((doc_id, piece, start, n, zlib.crc32(own), own if keep_ids else b""))
                     start += n
-            full = len(waiting) >= ahead or keep_ids and sum(len(row[5]) for row in waiting) > AHEAD_BYTES
-            return placed() if full else []
+                if len(waiting) >= ahead:
+                    out.append(placed())
+            if len(out) < 2:
+                return out[0] if out else []
+            return [pa.concat_arrays(x) if isinstance(x[0], pa.Array) else [v for part in x for v in part] for x in zip(*out, strict=True)]
 
         return run, placed
 

@@ -125,6 +125,25 @@ def test_packing(spark, documents):
     assert len({r["sequence_id"] for r in pieces}) <= 1.02 * least + 3
 
 
+def test_bins_are_closed_and_the_loss_is_small():
+    r = random.Random(17)
+    lengths = [r.choice([r.randint(1, 200), r.randint(300, 1024)]) for _ in range(20_000)]
+    least = -(-sum(lengths) // 1024)
+    bins = packing.OpenBins(1024, 64)
+    free = {}
+    for n in lengths:
+        bin_, offset = bins.place(n)
+        assert offset == 1024 - free.get(bin_, 1024)
+        free[bin_] = 1024 - offset - n
+        assert bins.open <= 64 and free[bin_] >= 0
+    assert bins.closed > 500 and bins.next < 1.02 * least + 64
+
+
+def test_the_pipeline_packs_as_op2_does(spark, documents):
+    key = ("doc_id", "piece", "length", "sequence_id", "offset")
+    assert rows(packing.pack(documents), *key) == rows(packing.pack(documents, keep_ids=True), *key)
+
+
 def test_packing_odd(spark, odd):
     one = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     check_packing([r.asDict() for r in packing.pack(one).collect()], {k: brute_ids(t) for k, t in texts(one).items()})
