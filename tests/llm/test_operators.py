@@ -86,6 +86,43 @@ def test_log_count_ratios():
     assert np.isclose(r[0], np.log(3 / (n + 3)) - np.log(1 / (n + 1))) and np.isclose(r[1], np.log(2 / (n + 3)) - np.log(2 / (n + 1)))
 
 
+def plain_dual(x, y, bound, steps=200_000):
+    """The box-bounded dual of the hinge loss by projected gradient steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    alpha, rate = np.zeros(len(y)), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(steps):
+        new = np.clip(alpha - rate * (q @ alpha - 1), 0, bound)
+        if abs(new - alpha).max() < 1e-12:
+            break
+        alpha = new
+    return (alpha * y) @ x
+
+
+def test_hinge_against_a_plain_solver():
+    r = np.random.default_rng(3)
+    for _ in range(3):
+        found = [np.flatnonzero(r.random(12) < 0.4) for _ in range(30)]
+        y = np.where(r.random(30) < 0.4, 1.0, -1.0)
+        scale = r.normal(size=12)
+        x = np.zeros((30, 12))
+        for i, f in enumerate(found):
+            x[i, f] = scale[f] / np.sqrt(max(1, len(f)))
+        bound = np.where(y > 0, 30 / (2 * (y > 0).sum()), 30 / (2 * (y < 0).sum()))
+        w, b = quality.fit_hinge(found, y, scale, epochs=20_000, least=1e-10)
+        want = plain_dual(x, y, bound)
+        got = np.array([quality.margin(f, w, b) for f in found])
+        assert np.allclose(got, x @ want[:-1] + want[-1], atol=1e-3)
+
+
+def test_quality_is_the_same_in_every_run(spark):
+    a, b = (quality.op1_quality(spark, SF).repartition(n) for n in (1, 5))
+    assert rows(a, "doc_id", "score") == rows(b, "doc_id", "score")
+    found = np.unique(np.random.default_rng(1).integers(0, 1 << quality.BITS, 100_000)).astype(np.int32)
+    for some in (found, found[:100], found[:0]):
+        assert (quality.unpacked(quality.packed(some)) == some).all() and len(quality.packed(some)) <= (1 << quality.BITS) // 8 + 1
+
+
 # 2. Packing
 
 
@@ -361,6 +398,31 @@ def test_kernel_is_that_of_shared_ngrams():
     assert names == ["p", "q"] and langid.predict(["abc", "xyz", "12", None], names, matrix)[0] == ["p", "q", "und", "und"]
 
 
+def test_landmarks_of_all_texts_are_exact_kernel_ridge():
+    r = random.Random(18)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(2, 6)))
+    some = [(" ".join(word(letters) for _ in range(12)), lang) for lang, letters in (("x", "abcdef"), ("y", "efghij"), ("z", "aeiouv")) for _ in range(25)]
+    x, langs = np.stack([langid.ngrams(t) for t, _ in some]), [lang for _, lang in some]
+    names, matrix = langid.fit(x, langs, landmarks=len(x), ridge=0.05)
+    k = langid.kernel(x, x)
+    assert np.isclose(k[0, 1], (x[0] & x[1]).sum() / np.sqrt(x[0].sum() * x[1].sum()))
+    y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    dual = np.linalg.solve(k + 0.05 * np.diag([25.0] * len(x)), y)
+    new = np.stack([langid.ngrams(" ".join(word(letters) for _ in range(9))) for letters in ("abcdef", "efghij", "aeiouv") for _ in range(10)])
+    got = new.astype(float) @ matrix / np.sqrt(new.sum(1, keepdims=True))
+    assert np.allclose(got, langid.kernel(new, x) @ dual, atol=1e-4)
+
+
+def test_scores_do_not_depend_on_the_batch(spark):
+    df = common.read(spark, SF, "documents")
+    model = langid.train(df)
+    all_texts = [r["text"] for r in df.collect()]
+    alone = [langid.predict([t], *model) for t in all_texts]
+    assert langid.predict(all_texts, *model) == ([a[0][0] for a in alone], [a[1][0] for a in alone])
+    again = langid.train(df.repartition(7))
+    assert again[0] == model[0] and (again[1] == model[1]).all()
+
+
 # 6. Rules
 
 
