@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.session import ship
-from colloquy.staging import scratch_path, staged
+from colloquy.staging import scratch_path, staged, staged_with
 
-__all__ = ["map_rows", "map_text", "read", "remainder", "scratch_path", "ship", "staged"]
+__all__ = ["map_rows", "map_text", "read", "remainder", "scratch_path", "ship", "staged", "staged_with"]
 
 #: Rows of an Arrow batch that a worker turns into Python objects at once.
 SLICE_ROWS = 256

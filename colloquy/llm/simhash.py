@@ -8,8 +8,12 @@ than ``CROWD`` fingerprints is cut into chunks of about that many, and every two
 no link is lost and no task holds an unbounded group. Components are then found by alternating large and
 small stars, each step written to the shared folder.
 
+Rows meet the classes of their fingerprints in a join, in which copies of one text are one key. Fingerprints that have more
+than a ``HOT``-th of all rows, of which there are fewer than ``HOT``, are sent to all tasks instead.
+
 Defined results: null and empty texts have fingerprint zero and are linked like any other; equal fingerprints are
-linked; a row without doc_id gets the component of its fingerprint; repeated rows give equal rows.
+linked; a row without doc_id gets the component of its fingerprint; repeated rows give equal rows. Of a group one row stays: that with
+the smallest doc_id, those without come last, and of rows that tie the first.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from colloquy.llm import common
 from colloquy.operators.graph import components
 
 SHINGLE, SEED, DISTANCE, BLOCKS, CROWD = 4, 42, 4, 6, 8192
+#: A fingerprint of more than this part of all rows is hot.
+HOT = 1000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -51,11 +57,14 @@ def _vote(hashes: list[int]) -> int:
     return int(np.packbits(2 * ones > len(values), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
+def fingerprints(documents: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id and fp of every row, and ``row``, the name of a column of numbers, if given."""
+
     def make():
-        return lambda c: [c[0], list(map(fingerprint, c[1]))]
+        return lambda c: [c[0], list(map(fingerprint, c[1])), *c[2:]]
 
-    return common.map_rows(documents.select("doc_id", F.col("text").cast("string").alias("text")), make, "doc_id long, fp long")
+    names = [F.col("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(row).alias("row")] if row else [])]
+    return common.map_rows(documents.select(*names), make, "doc_id long, fp long" + ", row long" * bool(row))
 
 
 def masks(open_bits: list[int], blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -175,25 +184,49 @@ def blocks_for(fingerprints: int) -> int:
     return BLOCKS if fingerprints <= 1 << 24 else BLOCKS + 1 if fingerprints <= 1 << 30 else BLOCKS + 2
 
 
+def _classes(marked: DataFrame, blocks: int | None, distance: int, crowd: int) -> DataFrame:
+    """fp, n (rows that have it) and of, the component, of every distinct fingerprint of (doc_id, fp)."""
+    distinct, got = common.staged_with(marked.groupBy("fp").agg(F.count("*").alias("n")), "distinct", count=F.count(F.lit(1)))
+    roots = components(links(distinct, blocks or blocks_for(got["count"]), distance, crowd))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("of"))
+
+
+def _meet(marked: DataFrame, known: DataFrame) -> DataFrame:
+    """``marked`` joined with ``known`` (fp, n, further columns) by fp; hot fingerprints don't travel."""
+    total = known.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > max(1000, total // HOT)
+    hot = F.broadcast(known.where(is_hot).drop("n"))  # fewer than HOT rows
+    return marked.join(hot, "fp").unionByName(marked.join(hot.select("fp"), "fp", "left_anti").join(known.where(~is_hot).drop("n"), "fp"))
+
+
 def near_duplicates(documents: DataFrame, blocks: int | None = None, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach, of every document.
 
     Any number of ``blocks`` over ``distance`` finds the same links; by default it follows the number of fingerprints.
     """
     marked = common.staged(fingerprints(documents), "fingerprints")
-    distinct = common.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct, blocks or blocks_for(distinct.count()), distance, crowd))
-    rooted = common.staged(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "root", F.coalesce("root", "fp").alias("of")), "rooted")
-    named = common.staged(rooted.groupBy("of").agg(F.min("first").alias("component_id")), "named")
-    known = common.staged(rooted.select("fp", "of").join(named, "of").select("fp", "component_id"), "known")
-    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
+    rooted = common.staged(_classes(marked, blocks, distance, crowd), "rooted")
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    rooted = common.staged(rooted.join(first, "fp"), "firsts")
+    named = rooted.groupBy("of").agg(F.min("first").alias("component_id"))
+    known = common.staged(rooted.select("fp", "n", "of").join(named, "of").select("fp", "n", "component_id"), "known")
+    return _meet(marked, known).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; rows without doc_id stay."""
-    found = near_duplicates(documents)
-    copies = common.staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_of_a_kept_one")).distinct(), "copies")
-    return documents.join(copies, documents["doc_id"] == copies["copy_of_a_kept_one"], "left_anti")
+    """One row of each component, with all its columns: that with the smallest doc_id. Rows are numbered, so repeated ids and null ones are rows like any."""
+    columns = documents.columns
+    numbered = common.staged(documents.select(F.struct("*").alias("_document"), F.monotonically_increasing_id().alias("_number")), "numbered")
+    marked = fingerprints(numbered.select("_document.doc_id", "_document.text", "_number"), "_number")
+    marked = common.staged(marked, "fingerprints")
+    rooted = _classes(marked, None, DISTANCE, CROWD)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    rooted = common.staged(rooted.join(marked.groupBy("fp").agg(best.alias("best")), "fp"), "rooted")
+    kept = rooted.groupBy("of").agg(F.min("best").alias("kept"), F.sum("n").alias("all"))
+    known = common.staged(rooted.select("fp", "n", "of").join(kept.where("all > 1"), "of").select("fp", "n", "kept.row"), "known")
+    copies = _meet(marked.withColumnRenamed("row", "_copy"), known).where("_copy <> row").select("_copy")
+    copies = common.staged(copies, "copies")
+    return numbered.join(copies, F.col("_number") == F.col("_copy"), "left_anti").select(*[F.col("_document").getField(c).alias(c) for c in columns])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,18 @@ Writing: every page becomes a record in plain WARC text, put together by built-i
 Spark's text sink, whose line separator is the pair of line ends that closes a record; any file system and lost executors are thus
 Spark's matter. Of equal payloads one is stored, the others become revisits that refer to it.
 
+Files have a bounded number of records, and those with a payload over ``LARGE`` bytes are in files of their own, so a file is
+bounded in bytes too, unless one page is larger.
+
 Reading: each archive is parsed by its lengths, payload digests are recomputed, and its captures are
-sorted by URL key and time into a run. The runs are cut into ranges of (URL key, time, page), and in each
+sorted by URL key and time into a run. A loser tree merges the runs of the archives that a task reads into longer ones, of up to
+``RUN_CAPTURES`` captures. These are cut into ranges of (URL key, time, page), and in each
 range a loser tree merges the slices of all runs, so that the ranges in a row hold every URL's capture history in order. A
 range has a bounded number of captures even where one URL has most of them.
 
+Copies of a payload meet the page that is kept by digest; digests that have more than a ``HOT``-th of all pages, of which there are fewer
+than ``HOT``, are sent to all tasks instead.
+
 Defined results: null html is an empty payload, null urls have an empty key; equal payloads are told by SHA-1
 and length; rows that repeat both page_id and payload are each stored as a response if that page is the one kept; a null
 page_id is always a response. No pages give an empty result.
@@ -29,6 +36,8 @@ from colloquy.llm import common
 
 #: Records of an archive file, and captures of a range, at most (about, for ranges).
 FILE_RECORDS, RANGE_CAPTURES = 1024, 20_000
+#: Captures of a merged run at most; payload bytes from which a record has a file of its own; the part of all pages from which a payload is hot.
+RUN_CAPTURES, LARGE, HOT = 50_000, 1 << 18, 1000
 #: Payloads from this size on are stored once.
 LEAST_BYTES = 0
 EPOCH = 1_577_836_800
@@ -48,9 +57,13 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     body = payload.cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), base32_sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("n"))
-    facts = common.staged(rows.select("page_id", "digest", "n"), "payloads")
-    kept = common.staged(facts.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("refers_to")), "responses")
-    again = facts.join(kept, ["digest", "n"]).where("page_id <> refers_to").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to").distinct()
+    facts, got = common.staged_with(rows.select("page_id", "digest", "n"), "payloads", rows=F.count(F.lit(1)), large=F.count(F.when(F.col("n") > LARGE, 1)))
+    kept = facts.where(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies"))
+    kept = common.staged(kept.where("copies > 1"), "responses")
+    is_hot = F.col("copies") > max(1000, got["rows"] // HOT)
+    hot = F.broadcast(kept.where(is_hot).drop("copies"))  # fewer than HOT rows
+    cold = facts.join(hot.select("digest", "n"), ["digest", "n"], "left_anti").join(kept.where(~is_hot).drop("copies"), ["digest", "n"])
+    again = facts.join(hot, ["digest", "n"]).unionByName(cold).where("page_id <> refers_to").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to").distinct()
     again = common.staged(again, "revisits")
     rows = rows.join(again, (rows["page_id"] == again["_page"]) & (rows["digest"] == again["_digest"]), "left")
     seconds = F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000)))
@@ -68,7 +81,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END), block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(path)
+    out = rows.select("n", record.alias("value"))
+    for some, most in ((out.where(F.col("n") <= LARGE), file_records), (out.where(F.col("n") > LARGE), 1)) if got["large"] else ((out, file_records),):
+        some.select("value").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", most).text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
@@ -160,14 +175,14 @@ class LoserTree:
 
 
 def merge_runs(rows: list[tuple]) -> list[tuple]:
-    """The slices of several runs, each in order, as one sorted list."""
+    """The slices of several runs, each in order and named by its rows' last column, as one sorted list without it."""
     runs: dict[str, list] = {}
     for row in rows:
-        runs.setdefault(row[7], []).append(row)
+        runs.setdefault(row[-1], []).append(row[:-1])
     return list(LoserTree(runs.values()))
 
 
-def read_index(spark: SparkSession, path: str, range_captures: int = RANGE_CAPTURES) -> DataFrame:
+def read_index(spark: SparkSession, path: str, range_captures: int = RANGE_CAPTURES, run_captures: int = RUN_CAPTURES) -> DataFrame:
     """All captures of the archives under ``path``, in the global order of URL key, time and page."""
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
@@ -175,14 +190,23 @@ def read_index(spark: SparkSession, path: str, range_captures: int = RANGE_CAPTU
         return spark.createDataFrame([], CAPTURE)
 
     def parse():
-        def run(c):
-            rows = [row for file, data in zip(*c, strict=True) for row in captures(data, file)]
+        held: list[list[tuple]] = []
+
+        def merged() -> list[list]:
+            rows = [(*row[:-1], held[0][0][7]) for row in LoserTree(held)]
+            held.clear()
             return list(map(list, zip(*rows, strict=True)))
 
-        return run
+        def run(c):
+            for file, data in zip(*c, strict=True):
+                if found := captures(data, file):
+                    held.append([(*row, None) for row in found])
+            return merged() if sum(map(len, held)) >= run_captures else []
+
+        return run, lambda: merged() if held else []
 
-    runs = common.staged(common.map_rows(files, parse, CAPTURE, slice_rows=1), "runs")
-    ranges = max(1, -(-runs.count() // range_captures))
+    runs, got = common.staged_with(common.map_rows(files, parse, CAPTURE + ", run string", slice_rows=1), "runs", rows=F.count(F.lit(1)))
+    ranges = max(1, -(-got["rows"] // range_captures))
 
     def merge():
         rows: list[tuple] = []
@@ -193,7 +217,7 @@ def read_index(spark: SparkSession, path: str, range_captures: int = RANGE_CAPTU
 
         return take, lambda: list(map(list, zip(*merge_runs(rows), strict=True)))
 
-    cut = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "file", "place").sortWithinPartitions("file", "url_key", "captured", "page_id", "place")
+    cut = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "file", "place").sortWithinPartitions("run", "url_key", "captured", "page_id", "file", "place")
     return common.map_rows(cut, merge, CAPTURE)
 
 

@@ -217,6 +217,7 @@ def test_warc(spark, tmp_path):
     ).withColumns({"digest": F.lit(1), "n": F.lit(2), "refers_to": F.lit(3)})
     path = common.scratch_path(spark, "w")
     warc.write_archives(pages, path, file_records=2)
+    assert [tuple(r) for r in warc.read_index(spark, path, 3, 1).collect()] == [tuple(r) for r in warc.read_index(spark, path, 3).collect()]
     got = warc.read_index(spark, path, 3)
     found = got.collect()
     digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
@@ -229,6 +230,20 @@ def test_warc(spark, tmp_path):
     assert warc.read_index(spark, empty).count() == 0
 
 
+def test_large_and_hot_payloads(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT", 4)
+    monkeypatch.setattr(warc, "LARGE", 100)
+    html = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 7 == 0, F.lit("x" * 200)).otherwise(F.concat(F.lit("page "), F.col("id") % 1000))
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 9, F.lit("/")).alias("url"), html.alias("html"))
+    warc.write_archives(pages, path := common.scratch_path(spark, "w"))
+    page = {r["page_id"]: r["html"] or "" for r in pages.collect()}
+    last = {h: p for p, h in sorted(page.items())}
+    found = warc.read_index(spark, path, 700).collect()
+    assert {r["page_id"]: r["refers_to"] for r in found} == {p: last[h] if last[h] != p else None for p, h in page.items()}
+    order = [warc.order(tuple(r)) for r in found]
+    assert len(found) == 4000 and order == sorted(order)
+
+
 def test_small_payloads_are_not_revisited(spark):
     pages = spark.createDataFrame([(1, "u", "xx"), (2, "u", "xx"), (3, "u", "yyyy"), (4, "u", "yyyy")], "page_id long, url string, html string")
     warc.write_archives(pages, path := common.scratch_path(spark, "w"), least_bytes=3)
@@ -731,6 +746,28 @@ def test_one_document_of_a_group_stays(spark, odd):
     assert left.columns == odd.columns and rows(left.where("doc_id in (5, 6)"), "doc_id") == [(5,)] and simhash.drop_near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_one_row_of_a_group_stays_whatever_its_id(spark):
+    text, near = " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(299)) + " x"
+    other = " ".join(f"v{i}" for i in range(300))
+    assert (brute_fingerprint(text) ^ brute_fingerprint(near)).bit_count() <= 4 < (brute_fingerprint(text) ^ brute_fingerprint(other)).bit_count()
+    some = [(3, text, 1), (3, text, 2), (None, text, 3), (3, other, 4), (7, near, 5), (None, "alone here", 6), (None, "alone here", 7), (9, None, 8), (9, "", 9)]
+    left = simhash.drop_near_duplicates(spark.createDataFrame(some, "doc_id long, text string, n int").coalesce(1)).collect()
+    assert sorted((r["doc_id"] or 0, r["n"]) for r in left) == [(0, 6), (3, 1), (3, 4), (9, 8)]
+
+
+def test_hot_fingerprints_meet_their_class(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 4)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the very same text")).otherwise(F.concat(F.lit("text "), F.col("id") % 500)).alias("text"))
+    got = simhash.near_duplicates(docs)
+    want = {r["doc_id"]: r["text"] for r in docs.collect()}
+    by_text = {}
+    for d, t in sorted(want.items()):
+        by_text.setdefault(brute_fingerprint(t), d)
+    pairs = [(d, f) for f, d in by_text.items()]
+    root = dict(zip((f for _, f in pairs), brute_components(pairs), strict=True))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: root[brute_fingerprint(t)] for d, t in want.items()}
+
+
 # The pipeline
 
 
