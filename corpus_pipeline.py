@@ -8,27 +8,47 @@ from colloquy.llm import common, decontam, packing, pii, rules, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the adaptive quality rules keep."""
+    """The documents that the adaptive quality rules keep, with all their columns.
+
+    Null and empty texts have no words and go; repeated rows are judged each, and alike; null languages and sources are groups of their
+    own; a metric that ties with its threshold passes; an empty table stays empty. No text is cut, however long.
+    """
     return rules.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    """One row of each group of near-duplicates, with all its columns: that with the smallest doc_id.
+
+    Rows without doc_id come last in their group, and of rows that tie (repeated ones) the first stays; texts without words, null
+    or empty, are one group; an empty table stays empty. Groups are those of fingerprints within 4 of 64 bits.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that share no window of words with a benchmark item."""
+    """The documents that share no window of words with a benchmark item, with all their columns.
+
+    Null and empty texts, and documents against an empty benchmark, stay; repeated rows are judged each, and alike; a window that is in several
+    items, or at several places, counts like any. Long texts are searched whole.
+    """
     return decontam.remove_contaminated(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by the names of its kinds."""
+    """All documents, with personal data in their texts replaced by the names of its kinds, and n_chars following.
+
+    Null and empty texts stay as they are; overlapping spans become one name, that of the first, in a tie of the kind listed first; repeated rows change
+    alike; other columns pass whatever their names and types.
+    """
     return pii.redact_texts(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their token ids and their places in sequences."""
+    """The pieces of all documents with their token ids and their places in sequences.
+
+    Null and empty texts are a piece of the end token alone; rows without doc_id, and repeated rows, are packed each; long texts are cut into pieces, none is
+    dropped; for ties see ``packing``. An empty table gives no pieces.
+    """
     return packing.pack(docs, keep_ids=True)
 
 
