@@ -13,6 +13,17 @@ from colloquy.operators.fold import fold_groups
 from colloquy.schema import NODE_SCHEMA
 
 
+def with_payload(forest: DataFrame, messages: DataFrame) -> DataFrame:
+    """``forest`` with all columns of each node's message, null for dummies, in one struct column ``payload``.
+
+    A struct keeps columns apart whatever their names and types; messages are met by mailbox and position.
+    """
+    box = F.coalesce("mailbox_id", F.lit("")) if "mailbox_id" in messages.columns else F.lit("")
+    found = messages.select(F.nullif(box, F.lit("")).alias("_b"), F.col("input_pos").cast("long").alias("_pos"), F.struct("*").alias("payload"))
+    same = F.col("mailbox_id").eqNullSafe(F.col("_b")) & (F.col("input_pos") == F.col("_pos"))
+    return forest.join(found, same, "left").drop("_b", "_pos")
+
+
 def _numbered(rows: list[tuple]) -> list[tuple]:
     """(box, node_id, preorder, branch) from one thread's (box, root_id, node_id, parent_id, sibling_ord)."""
     below: dict = {}

@@ -12,7 +12,7 @@ from colloquy.functions.dates import sent_us
 from colloquy.functions.headers import effective_references, email_fingerprint, extract_reference_ids, normalize_message_id
 from colloquy.functions.text import base_subject, decode_header_text, unicode_casemap_key
 from colloquy.operators import threading as T
-from colloquy.operators.forest import add_child, descendants, preorder
+from colloquy.operators.forest import add_child, descendants, preorder, with_payload
 from colloquy.operators.render import serialize_thread_data, serialize_thread_response, thread_texts
 from colloquy.plans import mailboxes as M
 from colloquy.session import ship
@@ -371,6 +371,13 @@ def subject_grouped_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.where("not is_dummy").select("input_pos", made.alias("parent"))
 
 
+@query(f"WITH {GAPS} SELECT pos AS input_pos, g.conv_id, text FROM g JOIN conversations t ON t.conv_id = g.conv_id AND t.turn = g.turn")
+def forest_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = M.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    m = M.gaps(spark, sf_dir).join(t, ["conv_id", "turn"]).withColumn("node_id", F.lit("a payload column of a clashing name"))
+    return with_payload(T.thread_messages(m), m).where("not is_dummy").select("input_pos", "payload.conv_id", "payload.text")
+
+
 # Responses
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import colloquy
-from colloquy.operators.forest import add_child, descendants, has_descendant, preorder
+from colloquy.operators.forest import add_child, descendants, has_descendant, preorder, with_payload
 from colloquy.operators.threading import thread_messages
 
 
@@ -42,3 +42,9 @@ def test_public_names():
     assert all(getattr(colloquy, n) is not None for n in colloquy.__all__)
     with pytest.raises(AttributeError):
         colloquy.nothing
+
+
+def test_payload_of_clashing_names(spark):
+    messages = spark.createDataFrame([(1, "<a>", None, "x", "y"), (2, "<b>", ["<a> <z>"], "z", None)], "input_pos long, message_id string, references array<string>, node_id string, payload string")
+    got = {r["input_pos"]: r["payload"] for r in with_payload(thread_messages(messages), messages).collect() if not r["is_dummy"]}
+    assert {k: (p["node_id"], p["payload"], p["message_id"]) for k, p in got.items()} == {1: ("x", "y", "<a>"), 2: ("z", None, "<b>")}
