@@ -11,8 +11,8 @@ _HOMES = {
     "colloquy.functions.headers": ("REFERENCE_PATTERN", "effective_references", "email_fingerprint", "extract_reference_ids", "normalize_message_id", "reference_ids"),
     "colloquy.functions.text": ("base_subject", "decode_header_text", "is_reply_or_forward_subject", "is_reply_subject", "normalize_subject", "unicode_casemap_key"),
     "colloquy.functions.dates": ("EARLIEST", "normalize_sent_date", "sent_us"),
-    "colloquy.operators.forest": ("add_child", "descendants", "has_descendant", "preorder"),
-    "colloquy.operators.render": ("ThreadSerializationError", "response_text", "serialize_thread_data", "serialize_thread_response"),
+    "colloquy.operators.forest": ("add_child", "descendants", "has_descendant", "preorder", "with_payload"),
+    "colloquy.operators.render": ("ThreadSerializationError", "response_text", "serialize_thread_data", "serialize_thread_response", "thread_texts"),
     "colloquy.operators.threading": ("SequenceNumberError", "thread_messages"),
     "colloquy.schema": ("MESSAGE_SCHEMA", "NODE_SCHEMA", "as_mailbox"),
     "colloquy.session": ("session", "ship"),

@@ -34,7 +34,7 @@ class IncrementalThreads:
     options: dict = field(default_factory=dict)
 
     def _read(self, spark: SparkSession, name: str, schema) -> DataFrame:
-        full = schema.add("batch", "long").add("bucket", "int")
+        full = schema.add("batch", "long").add("bucket", "integer")
         try:
             return spark.read.schema(full).parquet(f"{self.path}/{name}")
         except AnalysisException:
