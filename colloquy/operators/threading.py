@@ -50,6 +50,16 @@ def _box(name: str = "mailbox_id") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def _named(node: str) -> tuple[Column, Column]:
+    """Mailbox and node under names of their own (_b, _n), for the other side of a join."""
+    return _box().alias("_b"), F.col(node).alias("_n")
+
+
+def _is(node: str) -> Column:
+    """Whether ``node`` is the one that ``_named`` names."""
+    return (_box() == F.col("_b")) & (F.col(node) == F.col("_n"))
+
+
 def identified(messages: DataFrame, strict: bool = True) -> DataFrame:
     """Messages with ``id``, their normalized identifier, and ``refs``, their chain of ancestors; ``strict`` as for ``as_mailbox``."""
     box = as_mailbox(messages, strict).withColumn("mailbox_id", F.nullif("mailbox_id", F.lit("")))
@@ -79,15 +89,19 @@ def place_nodes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = mentions(messages)
     right = named.select(_box().alias("_box"), F.col("id").alias("_id"), "owner_pos")
     met = said.join(right, (_box() == F.col("_box")) & (F.col("ref") == F.col("_id")), "left").select(
-        "mailbox_id", "input_pos", "idx", "ref", F.when(F.col("owner_pos").isNotNull(), _node_of(F.col("owner_pos"))).otherwise(F.concat(F.lit("d:"), "ref")).alias("node_id")
+        "mailbox_id", "input_pos", "idx", "ref", F.coalesce(_node_of(F.col("owner_pos")), F.concat(F.lit("d:"), "ref")).alias("node_id")
     )
     met = staged(met, "mentions")
     first = met.groupBy("mailbox_id", "node_id").agg(F.min(F.struct("input_pos", "idx")).alias("said"), F.max("idx").alias("height"))
     own = messages.select("mailbox_id", _node_of(F.col("input_pos")).alias("node_id"), "input_pos", "id", F.size("refs").alias("size"))
-    a, b = own.select(_box().alias("_b"), F.col("node_id").alias("_n"), "mailbox_id", "input_pos", "id", "size"), first.select(_box().alias("_b"), F.col("node_id").alias("_n"), F.col("mailbox_id").alias("_m"), "said", "height")
+    a = own.select(*_named("node_id"), "mailbox_id", "input_pos", "id", "size")
+    b = first.select(*_named("node_id"), F.col("mailbox_id").alias("_m"), "said", "height")
+    never = F.lit(1 << 62)
+    met_at = lambda pos, idx: F.struct(F.coalesce(pos, never).alias("pos"), F.coalesce(idx, F.lit(0)).alias("idx"))
+    dummy_id = F.when(F.col("input_pos").isNull(), F.substring("_n", 3, 1 << 30))
     nodes = a.join(b, ["_b", "_n"], "full").select(
-        F.coalesce("mailbox_id", "_m").alias("mailbox_id"), F.col("_n").alias("node_id"), "input_pos", F.coalesce("id", F.when(F.col("input_pos").isNull(), F.substring("_n", 3, 1 << 30))).alias("message_id"),
-        F.least(F.struct(F.coalesce("input_pos", F.lit(1 << 62)).alias("pos"), F.lit(0).alias("idx")), F.struct(F.coalesce("said.input_pos", F.lit(1 << 62)).alias("pos"), F.coalesce("said.idx", F.lit(0)).alias("idx"))).alias("created"),
+        F.coalesce("mailbox_id", "_m").alias("mailbox_id"), F.col("_n").alias("node_id"), "input_pos", F.coalesce("id", dummy_id).alias("message_id"),
+        F.least(met_at(F.col("input_pos"), F.lit(0)), met_at(F.col("said.input_pos"), F.col("said.idx"))).alias("created"),
         F.greatest(F.coalesce("height", F.lit(0)), F.coalesce(F.col("size") + 1, F.lit(0))).alias("height"),
     )
     return met, staged(nodes, "nodes")
@@ -135,13 +149,16 @@ def link(messages: DataFrame, strict: bool = True) -> Linked:
     messages = messages.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent if f.name != "mailbox_id"})
     met, nodes = place_nodes(messages)
     edges = proposals(messages, met)
-    above = nodes.select(_box().alias("_b"), F.col("node_id").alias("_n"), F.col("height").alias("low"), F.col("created").alias("from"))
+    above = nodes.select(*_named("node_id"), F.col("height").alias("low"), F.col("created").alias("from"))
     chosen = F.min_by(F.struct("parent", "at_pos", "at_idx"), F.struct(~F.col("own"), "at_pos", "at_idx"))
-    parents = edges.join(above, (_box() == F.col("_b")) & (F.col("parent") == F.col("_n"))).groupBy(_box().alias("_b"), F.col("child").alias("_n"))
+    parents = edges.join(above, _is("parent")).groupBy(*_named("child"))
     parents = parents.agg(chosen.alias("c"), F.max("low").alias("low"), F.max("from").alias("last_from"), F.min("from").alias("first_from"))
-    linked = nodes.join(parents, (_box() == F.col("_b")) & (F.col("node_id") == F.col("_n")), "left").select(
-        "mailbox_id", "node_id", "input_pos", "message_id", "created", F.col("c.parent").alias("parent_id"), F.struct("c.at_pos", "c.at_idx").alias("attached"),
-        (F.col("low") >= F.col("height")).alias("height_falls"), (F.col("last_from") >= F.col("created")).alias("later_falls"), (F.col("first_from") <= F.col("created")).alias("earlier_falls"),
+    linked = nodes.join(parents, _is("node_id"), "left").select(
+        "mailbox_id", "node_id", "input_pos", "message_id", "created",
+        F.col("c.parent").alias("parent_id"), F.struct("c.at_pos", "c.at_idx").alias("attached"),
+        (F.col("low") >= F.col("height")).alias("height_falls"),
+        (F.col("last_from") >= F.col("created")).alias("later_falls"),
+        (F.col("first_from") <= F.col("created")).alias("earlier_falls"),
     )
     linked, got = staged_with(linked, "linked", **{c: F.count(F.when(F.col(c), 1)) for c in CERTIFICATES}, **_counts())
     linked = linked.drop(*CERTIFICATES)
@@ -161,7 +178,8 @@ def link(messages: DataFrame, strict: bool = True) -> Linked:
     walked_too = F.col("_k").isNotNull()
     linked = linked.join(walked, _key("node_id") == F.col("_k"), "left").select(
         "mailbox_id", "node_id", "input_pos", "message_id", "created",
-        F.when(walked_too, F.col("_p")).otherwise(F.col("parent_id")).alias("parent_id"), F.when(walked_too, F.col("_a")).otherwise(F.col("attached")).alias("attached"),
+        F.when(walked_too, F.col("_p")).otherwise(F.col("parent_id")).alias("parent_id"),
+        F.when(walked_too, F.col("_a")).otherwise(F.col("attached")).alias("attached"),
     )
     linked, got = staged_with(linked, "linked", **_counts())
     return Linked(messages, linked, {c: got[c] for c in COUNTS})
@@ -174,19 +192,21 @@ def prune(linked: Linked) -> DataFrame:
     attachment below the new parent, by which siblings are ordered.
     """
     nodes = linked.nodes
-    dummies = nodes.where("input_pos is null").select(_box().alias("_b"), F.col("node_id").alias("_n"), F.col("parent_id").alias("_p"), F.col("attached").alias("_a"), F.col("created").alias("_c"))
-    now = nodes.where("input_pos is not null").select("mailbox_id", "node_id", "input_pos", "message_id", "created", F.col("parent_id").alias("up"), F.array("attached").alias("path"))
+    renamed = {"parent_id": "_p", "attached": "_a", "created": "_c"}
+    dummies = nodes.where("input_pos is null").select(*_named("node_id"), *[F.col(c).alias(n) for c, n in renamed.items()])
+    columns = ["mailbox_id", "node_id", "input_pos", "message_id"]
+    now = nodes.where("input_pos is not null").select(*columns, "created", F.col("parent_id").alias("up"), F.array("attached").alias("path"))
     # ``up`` climbs over dummies; at a dummy root it stays, with ``top`` set.
     more = linked.counts["below_dummies"]
     if not more:
         return now.withColumnRenamed("up", "parent_id")
     now = now.withColumn("top", F.lit(False))
-    waiting = F.col("up").startswith("d:") & ~F.col("top")
+    waiting, ends = F.col("up").startswith("d:") & ~F.col("top"), F.col("_p").isNull()
     while more:
-        up = now.where(waiting).join(dummies, (_box() == F.col("_b")) & (F.col("up") == F.col("_n")))
+        up = now.where(waiting).join(dummies, _is("up"))
         up = up.select(
-            "mailbox_id", "node_id", "input_pos", "message_id", F.when(F.col("_p").isNull(), F.col("_c")).otherwise(F.col("created")).alias("created"),
-            F.coalesce("_p", "up").alias("up"), F.when(F.col("_p").isNull(), F.col("path")).otherwise(F.concat(F.array("_a"), "path")).alias("path"), F.col("_p").isNull().alias("top"),
+            *columns, F.when(ends, F.col("_c")).otherwise(F.col("created")).alias("created"), F.coalesce("_p", "up").alias("up"),
+            F.when(ends, F.col("path")).otherwise(F.concat(F.array("_a"), "path")).alias("path"), ends.alias("top"),
         )
         now, got = staged_with(now.where(~waiting | waiting.isNull()).unionByName(up), "prune", more=F.count(F.when(waiting, 1)))
         more = got["more"]
@@ -195,8 +215,8 @@ def prune(linked: Linked) -> DataFrame:
         "mailbox_id", F.col("up").alias("node_id"), F.lit(None).cast("long").alias("input_pos"),
         F.substring("up", 3, 1 << 30).alias("message_id"), F.lit(None).cast("string").alias("parent_id"), "created",
     )
-    kept = tops.select(_box().alias("_b"), F.col("node_id").alias("_n"))
-    real = now.join(kept, (_box() == F.col("_b")) & (F.col("up") == F.col("_n")) & F.col("top"), "left")
+    kept = tops.select(*_named("node_id"))
+    real = now.join(kept, _is("up") & F.col("top"), "left")
     parent = F.when(F.col("top"), F.col("_n")).otherwise(F.col("up"))
     real = real.select("mailbox_id", "node_id", "input_pos", "message_id", parent.alias("parent_id"), "created", "path")
     return real.unionByName(tops.withColumn("path", F.lit(None).cast(real.schema["path"].dataType)))
@@ -215,7 +235,8 @@ def check_sequence_numbers(messages: DataFrame) -> None:
 def sort_keys(messages: DataFrame) -> DataFrame:
     """The key (sent_us, seq, pos) of every message: its date, its number or else position, its position."""
     date = sent_us("sent_date", "internal_date", F.col("sent_ts"), F.col("internal_ts"))
-    return messages.select(_box().alias("_b"), F.col("input_pos").alias("_pos"), F.struct(date.alias("sent_us"), F.coalesce("sequence_number", "input_pos").alias("seq"), F.col("input_pos").alias("pos")).alias("key"))
+    key = F.struct(date.alias("sent_us"), F.coalesce("sequence_number", "input_pos").alias("seq"), F.col("input_pos").alias("pos"))
+    return messages.select(_box().alias("_b"), F.col("input_pos").alias("_pos"), key.alias("key"))
 
 
 def _with_keys(forest: DataFrame, messages: DataFrame, dummies: bool = True) -> DataFrame:
@@ -223,9 +244,9 @@ def _with_keys(forest: DataFrame, messages: DataFrame, dummies: bool = True) ->
     keyed = forest.join(sort_keys(messages), (_box() == F.col("_b")) & (F.col("input_pos") == F.col("_pos")), "left").drop("_b", "_pos")
     if not dummies:
         return keyed
-    first = keyed.where("parent_id is not null and input_pos is not null").groupBy(_box().alias("_b"), F.col("parent_id").alias("_n")).agg(F.min("key").alias("_k"))
+    first = keyed.where("parent_id is not null and input_pos is not null").groupBy(*_named("parent_id")).agg(F.min("key").alias("_k"))
     earliest = F.struct(F.lit(EARLIEST).alias("sent_us"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("pos"))
-    out = keyed.join(first, (_box() == F.col("_b")) & (F.col("node_id") == F.col("_n")), "left")
+    out = keyed.join(first, _is("node_id"), "left")
     return out.withColumn("key", F.coalesce("key", F.when(F.col("input_pos").isNull(), F.col("_k")), earliest)).drop("_b", "_n", "_k")
 
 
@@ -239,12 +260,14 @@ def group_subjects(forest: DataFrame, messages: DataFrame) -> DataFrame:
     subjects = messages.select(_box().alias("_b"), F.col("input_pos").alias("_pos"), "subject")
     roots = forest.where("parent_id is null").select("mailbox_id", "node_id", "input_pos", "place")
     # A dummy's subject is that of its first child.
-    firsts = forest.where("parent_id like 'd:%' and input_pos is not null").groupBy("mailbox_id", F.col("parent_id").alias("node_id")).agg(F.min_by("input_pos", "rank_key").alias("child_pos"))
-    f = firsts.select(_box().alias("_b"), F.col("node_id").alias("_n"), "child_pos")
-    roots = roots.join(f, (_box() == F.col("_b")) & (F.col("node_id") == F.col("_n")), "left").drop("_b", "_n")
+    below = forest.where("parent_id like 'd:%' and input_pos is not null")
+    firsts = below.groupBy("mailbox_id", F.col("parent_id").alias("node_id")).agg(F.min_by("input_pos", "rank_key").alias("child_pos"))
+    f = firsts.select(*_named("node_id"), "child_pos")
+    roots = roots.join(f, _is("node_id"), "left").drop("_b", "_n")
     roots = roots.withColumn("subject_pos", F.coalesce("input_pos", "child_pos"))
     roots = roots.join(subjects, (_box() == F.col("_b")) & (F.col("subject_pos") == F.col("_pos")), "left").withColumn("s", base_subject("subject"))
-    roots = roots.select("mailbox_id", "node_id", "place", F.col("input_pos").isNull().alias("dummy"), F.col("s.is_reply").alias("reply"), unicode_casemap_key(F.col("s.base")).alias("base")).where("base <> ''")
+    facts = [F.col("input_pos").isNull().alias("dummy"), F.col("s.is_reply").alias("reply"), unicode_casemap_key(F.col("s.base")).alias("base")]
+    roots = roots.select("mailbox_id", "node_id", "place", *facts).where("base <> ''")
     roots = staged(roots, "subjects")
     original = ~F.col("dummy") & ~F.col("reply")
     first = lambda c: F.min(F.when(c, F.col("place")))
@@ -253,8 +276,11 @@ def group_subjects(forest: DataFrame, messages: DataFrame) -> DataFrame:
     ).where("n > 1")
     met = staged(roots.join(groups, (_box() == F.col("_b")) & (F.col("base") == F.col("_base"))), "members")
     # From here on a new dummy takes members, where the group has none of its own.
-    start = F.when(F.col("dummy_at").isNull(), F.min(F.when(F.col("original_at").isNull(), F.when(F.col("place") > F.col("first_at"), F.col("place"))).when(original & (F.col("place") > F.col("original_at")), F.col("place"))))
-    starts = met.groupBy("_b", "_base", "dummy_at").agg(start.alias("start")).select(F.col("_b").alias("_b2"), F.col("_base").alias("_base2"), "start")
+    second_reply = F.when(F.col("place") > F.col("first_at"), F.col("place"))
+    second_original = F.when(original & (F.col("place") > F.col("original_at")), F.col("place"))
+    start = F.when(F.col("dummy_at").isNull(), F.min(F.when(F.col("original_at").isNull(), second_reply).otherwise(second_original)))
+    starts = met.groupBy("_b", "_base", "dummy_at").agg(start.alias("start"))
+    starts = starts.select(F.col("_b").alias("_b2"), F.col("_base").alias("_base2"), "start")
     met = met.join(starts, (F.col("_b") == F.col("_b2")) & (F.col("_base") == F.col("_base2")))
     owner_at = F.coalesce("dummy_at", "original_at", "first_at")
     owners_ = met.where(F.col("place") == owner_at).select(F.col("_b").alias("_b3"), F.col("_base").alias("_base3"), F.col("node_id").alias("owner"))
@@ -262,15 +288,18 @@ def group_subjects(forest: DataFrame, messages: DataFrame) -> DataFrame:
     new = F.concat(F.lit("m:"), F.col("owner"))
     owned = F.col("node_id") == F.col("owner")
     to = F.when(F.col("start").isNotNull() & (owned | (F.col("place") >= F.col("start"))), new).when(~owned, F.col("owner"))
-    met = staged(met.select("mailbox_id", "_b", "node_id", "place", "dummy", to.alias("to"), (owned & F.col("start").isNotNull()).alias("leads"), "first_at", "owner", "start"), "moves")
-    moves = met.where("to is not null").select(F.col("_b").alias("_b"), F.col("node_id").alias("_n"), "to", F.col("place").alias("moved_at"), "leads", F.col("dummy").alias("emptied"))
+    leads = owned & F.col("start").isNotNull()
+    met = met.select("mailbox_id", "_b", "node_id", "place", "dummy", to.alias("to"), leads.alias("leads"), "first_at", "owner", "start")
+    met = staged(met, "moves")
+    moves = met.where("to is not null").select("_b", F.col("node_id").alias("_n"), "to", F.col("place").alias("moved_at"), "leads", F.col("dummy").alias("emptied"))
     # 1. Members under their new parents, after the children that those have; the owner comes first under a new dummy.
-    out = forest.join(moves, (_box() == F.col("_b")) & (F.col("node_id") == F.col("_n")), "left").where("emptied is null or not emptied")
-    out = out.withColumn("parent_id", F.coalesce("parent_id", "to")).withColumn("late", F.when(F.col("to").isNotNull(), F.when(F.col("leads"), 0).otherwise(F.col("moved_at"))).otherwise(F.lit(-1)).cast("int"))
+    out = forest.join(moves, _is("node_id"), "left").where("emptied is null or not emptied")
+    late = F.when(F.col("to").isNull(), F.lit(-1)).when(F.col("leads"), F.lit(0)).otherwise(F.col("moved_at")).cast("int")
+    out = out.withColumn("late", late).withColumn("parent_id", F.coalesce("parent_id", "to"))
     out = out.drop("_b", "_n", "to", "moved_at", "leads", "emptied")
     # 2. Children of dummies that gave theirs away.
     given = moves.where("emptied").select("_b", "_n", F.col("to").alias("_to"), F.col("moved_at").alias("_at"))
-    out = out.join(given, (_box() == F.col("_b")) & (F.col("parent_id") == F.col("_n")), "left")
+    out = out.join(given, _is("parent_id"), "left")
     out = out.withColumn("parent_id", F.coalesce("_to", "parent_id")).withColumn("late", F.coalesce(F.col("_at").cast("int"), "late")).drop("_b", "_n", "_to", "_at")
     # 3. The new dummies, and the places of merged threads.
     made = met.where("leads").select("mailbox_id", "to", "first_at")
@@ -278,7 +307,7 @@ def group_subjects(forest: DataFrame, messages: DataFrame) -> DataFrame:
     fresh = made.select("mailbox_id", F.col("to").alias("node_id"), F.col("first_at").alias("place"), F.lit(-1).alias("late"))
     fresh = fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in blank.columns])
     moved = met.where(F.col("start").isNull() & (F.col("node_id") == F.col("owner"))).select(F.col("_b"), F.col("node_id").alias("_n"), "first_at")
-    out = out.join(moved, (_box() == F.col("_b")) & (F.col("node_id") == F.col("_n")), "left").withColumn("place", F.coalesce("first_at", "place")).drop("_b", "_n", "first_at")
+    out = out.join(moved, _is("node_id"), "left").withColumn("place", F.coalesce("first_at", "place")).drop("_b", "_n", "first_at")
     return out.unionByName(fresh)
 
 
@@ -303,8 +332,8 @@ def thread_messages(messages: DataFrame, *, group_by_subject: bool = False, sort
     if group_by_subject:
         roots = forest.where("parent_id is null").select("mailbox_id", "node_id", order.alias("o"))
         roots = ranked(roots, ["mailbox_id"], [F.col("o")], "place", rows=n["roots"])
-        roots = roots.select(_box().alias("_b"), F.col("node_id").alias("_n"), "place")
-        forest = forest.join(roots, (_box() == F.col("_b")) & (F.col("node_id") == F.col("_n")), "left").drop("_b", "_n")
+        roots = roots.select(*_named("node_id"), "place")
+        forest = forest.join(roots, _is("node_id"), "left").drop("_b", "_n")
         forest = staged(forest.withColumn("rank_key", F.struct("key") if sort_by_sent_date else F.struct("path")), "placed")
         forest, n = staged_with(group_subjects(forest, messages), "grouped", **counts)
         if sort_by_sent_date:  # new dummies have no key yet
@@ -322,5 +351,5 @@ def thread_messages(messages: DataFrame, *, group_by_subject: bool = False, sort
     out = out.join(ords, F.col("root") == F.col("_root"))
     return out.select(
         "mailbox_id", "node_id", "input_pos", "message_id", "parent_id", "root_id",
-        F.col("sibling_ord").cast("int").alias("sibling_ord"), F.col("root_ord").cast("int").alias("root_ord"), F.col("depth").cast("int").alias("depth"), F.col("input_pos").isNull().alias("is_dummy"),
+        *[F.col(c).cast("int").alias(c) for c in ("sibling_ord", "root_ord", "depth")], F.col("input_pos").isNull().alias("is_dummy"),
     ).select(*NODE_SCHEMA.names)
