@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import common
+from colloquy.llm import common, wide
 from colloquy.operators.graph import components
 
 SHINGLE, SEED, DISTANCE, BLOCKS, CROWD = 4, 42, 4, 6, 8192
@@ -213,18 +213,25 @@ def near_duplicates(documents: DataFrame, blocks: int | None = None, distance: i
     return _meet(marked, known).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row of each component, with all its columns: that with the smallest doc_id. Rows are numbered, so repeated ids and null ones are rows like any."""
+def drop_near_duplicates(documents: DataFrame, blocks: int | None = None) -> DataFrame:
+    """One row of each group of near copies, with all its columns: that with the smallest doc_id.
+
+    Near copies are those that fingerprints of five-word shingles with 128 bits link (``wide``): a similarity of about 0.8 or more. Rows are
+    numbered, so repeated ids and null ones are rows like any. Any number of ``blocks`` over 3 finds the same links.
+    """
     columns = documents.columns
     numbered = common.staged(documents.select(F.struct("*").alias("_document"), F.monotonically_increasing_id().alias("_number")), "numbered")
-    marked = fingerprints(numbered.select("_document.doc_id", "_document.text", "_number"), "_number")
+    marked = wide.fingerprints(numbered.select("_document.doc_id", "_document.text", "_number"), "_number")
     marked = common.staged(marked, "fingerprints")
-    rooted = _classes(marked, None, DISTANCE, CROWD)
+    distinct, got = common.staged_with(marked.select("fp", "more").distinct(), "distinct", count=F.count(F.lit(1)))
+    roots = components(wide.links(distinct, blocks or wide.blocks_for(got["count"])))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
-    rooted = common.staged(rooted.join(marked.groupBy("fp").agg(best.alias("best")), "fp"), "rooted")
+    first = marked.groupBy("fp").agg(F.count("*").alias("n"), best.alias("best"))
+    rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "n", "best", F.coalesce("root", "fp").alias("of"))
+    rooted = common.staged(rooted, "rooted")
     kept = rooted.groupBy("of").agg(F.min("best").alias("kept"), F.sum("n").alias("all"))
     known = common.staged(rooted.select("fp", "n", "of").join(kept.where("all > 1"), "of").select("fp", "n", "kept.row"), "known")
-    copies = _meet(marked.withColumnRenamed("row", "_copy"), known).where("_copy <> row").select("_copy")
+    copies = _meet(marked.select("fp", F.col("row").alias("_copy")), known).where("_copy <> row").select("_copy")
     copies = common.staged(copies, "copies")
     return numbered.join(copies, F.col("_number") == F.col("_copy"), "left_anti").select(*[F.col("_document").getField(c).alias(c) for c in columns])
 

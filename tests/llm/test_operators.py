@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colloquy.llm import common, decontam, extraction, langid, packing, pii, quality, registry, rules, simhash, tokencount, vocab, warc
+from colloquy.llm import common, decontam, extraction, langid, packing, pii, quality, registry, rules, simhash, tokencount, vocab, warc, wide
 
 SF = "/root/testdata/sf0.001"
 LONG = "word another " * 40_000
@@ -686,12 +686,12 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(pairs):
+def brute_components(pairs, distance=4):
     """Smallest id reachable from each (id, fingerprint)."""
     label = list(range(len(pairs)))
     for i in range(len(pairs)):
         for j in range(i):
-            if (pairs[i][1] ^ pairs[j][1]).bit_count() <= 4 and label[i] != label[j]:
+            if (pairs[i][1] ^ pairs[j][1]).bit_count() <= distance and label[i] != label[j]:
                 a, b = label[i], label[j]
                 label = [a if x == b else x for x in label]
     least = {}
@@ -755,6 +755,72 @@ def test_one_row_of_a_group_stays_whatever_its_id(spark):
     assert sorted((r["doc_id"] or 0, r["n"]) for r in left) == [(0, 6), (3, 1), (3, 4), (9, 8)]
 
 
+def brute_words(text):
+    return re.findall(r"[^\x20\t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_wide(text):
+    words = brute_words(text)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+    hashes = [xxhash.xxh3_128_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def halves(value):
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    return signed(value >> 64), signed(value & (1 << 64) - 1)
+
+
+def test_wide_fingerprints(documents, monkeypatch):
+    some = [*texts(documents).values(), None, "", " \t", "one", "A b C d", "É é  x\x00y z w v"]
+    want = [halves(brute_wide(t)) for t in some]
+    assert list(map(wide.fingerprint, some)) == want
+    monkeypatch.setattr(wide, "SLICE", 7)
+    assert list(map(wide.fingerprint, some)) == want
+
+
+@pytest.mark.parametrize("blocks", [5, 6, 7, 8])
+def test_wide_masks_cover_all_close_pairs(blocks):
+    r, found = random.Random(9), wide.masks(blocks)
+    for _ in range(200):
+        difference = halves(sum(1 << b for b in r.sample(range(128), wide.FAR)))
+        assert any(not (difference[0] & m[0]) and not (difference[1] & m[1]) for m in found)
+
+
+def test_blocks_follow_the_number_of_wide_fingerprints():
+    assert [wide.blocks_for(n) for n in (0, 1 << 21, (1 << 21) + 1, 1 << 26, 1 << 40)] == [5, 5, 6, 7, 8]
+
+
+@pytest.mark.parametrize(("crowd", "blocks"), [(3, 5), (10_000, 5), (10_000, 6), (40, 8)])
+def test_wide_links_are_those_of_all_pairs(spark, crowd, blocks):
+    r = random.Random(11)
+    values = set()
+    for center in [r.getrandbits(128) for _ in range(5)]:
+        for _ in range(25):
+            center ^= sum(1 << b for b in r.sample(range(128), r.randint(1, 22)))  # chains, some of them broken
+            values.add(center)
+    values |= {r.getrandbits(128) for _ in range(80)}
+    pairs = [*enumerate(sorted(values))]
+    df = spark.createDataFrame([halves(f) for _, f in pairs], "fp long, more long")
+    found = {x["node"]: x["root"] for x in simhash.components(wide.links(df, blocks, crowd)).collect()}
+    want = brute_components(pairs, wide.FAR)
+    groups = lambda key: sorted(sorted(f for _, f in g) for g in _grouped(pairs, key).values())
+    assert groups(lambda p: found.get(halves(p[1])[0], halves(p[1])[0])) == groups(lambda p: want[p[0]])
+
+
+def test_near_copies_go_and_others_stay(spark):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    originals = [[r.choice(words) for _ in range(400)] for _ in range(60)]
+    copies = [[r.choice(words) if i % 100 == 50 else w for i, w in enumerate(t)] for t in originals[:40]]  # Jaccard 0.90
+    some = [(i, " ".join(t)) for i, t in enumerate(originals + copies)]
+    left = simhash.drop_near_duplicates(spark.createDataFrame(some, "doc_id long, text string"))
+    kept = {x["doc_id"] for x in left.collect()}
+    assert kept >= set(range(60)) and len(kept) <= 62
+
+
 def test_hot_fingerprints_meet_their_class(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 4)
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the very same text")).otherwise(F.concat(F.lit("text "), F.col("id") % 500)).alias("text"))
@@ -779,8 +845,8 @@ def test_pipeline(spark):
     verdict = {r["doc_id"]: r["kept"] for r in rules.apply_rules(docs).collect()}
     assert rows(kept, "doc_id") == sorted(((k,) for k, v in verdict.items() if v), key=repr) and kept.columns == docs.columns
     some = {k: some[k] for (k,) in rows(kept, "doc_id")}
-    pairs = [(k, brute_fingerprint(t)) for k, t in some.items()]
-    some = {k: some[k] for (k, _), c in zip(pairs, brute_components(pairs), strict=True) if k == c}
+    pairs = [(k, brute_wide(t)) for k, t in some.items()]
+    some = {k: some[k] for (k, _), c in zip(pairs, brute_components(pairs, 19), strict=True) if k == c}
     items = [(r["item_id"], r["text"]) for r in common.read(spark, SF, "benchmark").collect()]
     some = {d: some[d] for d, _, hit, _ in brute_contamination(some.items(), items) if not hit}
     want = {k: brute_ids(pii.redact(t, pii.find(t))) for k, t in some.items()}
