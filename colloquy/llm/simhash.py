@@ -217,7 +217,7 @@ def drop_near_duplicates(documents: DataFrame, blocks: int | None = None) -> Dat
     """One row of each group of near copies, with all its columns: that with the smallest doc_id.
 
     Near copies are those that fingerprints of five-word shingles with 128 bits link (``wide``): a similarity of about 0.8 or more. Rows are
-    numbered, so repeated ids and null ones are rows like any. Any number of ``blocks`` over 3 finds the same links.
+    numbered, so repeated ids and null ones are rows like any. Any number of ``blocks`` over 2 finds the same links.
     """
     columns = documents.columns
     numbered = common.staged(documents.select(F.struct("*").alias("_document"), F.monotonically_increasing_id().alias("_number")), "numbered")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm import common
 
-SHINGLE, SEED, FAR, PARTS, CROWD = 5, 42, 19, 5, 8192
+SHINGLE, SEED, FAR, PARTS, CROWD = 5, 42, 19, 7, 8192
 #: Shingles whose votes are unpacked at once, and pairs that are compared at once.
 SLICE, TILE = 65_536, 250_000
 
@@ -63,8 +63,8 @@ def fingerprints(documents: DataFrame, row: str) -> DataFrame:
 
 
 def blocks_for(fingerprints: int) -> int:
-    """Blocks of a part, by which few fingerprints meet by chance: 50, 100, 175 or 280 keys of 10, 13, 15 or 16 bits for each."""
-    return 5 + sum(fingerprints > 1 << b for b in (21, 25, 28))
+    """Blocks of a part, by which few fingerprints meet by chance: 42, 70, 105 or 147 keys of 9, 11, 12 or 13 bits for each."""
+    return 4 + sum(fingerprints > 1 << b for b in (20, 24, 26))
 
 
 def masks(blocks: int) -> list[tuple[int, int]]:
